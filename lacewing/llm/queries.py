@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacewing.llm.chat import chat_digests, format_chats
+from lacewing.llm.exact import exact_duplicates
+from lacewing.llm.minhash import near_duplicates
+from lacewing.llm.mixing import mix_sources, mixture_order
 from lacewing.llm.quality import quality_rules
 from lacewing.llm.sharding import shard_documents
 from lacewing.llm.tokens import count_tokens
@@ -40,8 +43,21 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents")).drop("source")
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixture_order(mix_sources(docs, temperature=0.7, seed=1))
+
+
+def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_token_counts, op3_sharding, op4_quality_rules)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_token_counts, op3_sharding, op4_quality_rules, op8_mixing, op9_exact_dedup, op10_minhash_near_dedup)}
 
 
 _CHAT = r"""
@@ -76,6 +92,20 @@ _QUALITY_VERDICTS = _QUALITY + """
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
 FROM b JOIN v ON v.source IS NOT DISTINCT FROM b.source"""
 
+_MIXING = r"""
+WITH z AS (SELECT source, sum(strlen(coalesce(text, '')) + 1)::DOUBLE AS size FROM documents GROUP BY source),
+l AS (SELECT source, size ** 0.7 / (SELECT sum(size ** 0.7) FROM z) * (SELECT sum(size) FROM z) / size AS rate FROM z),
+p AS (SELECT source, k, sum(exp(-rate + CASE WHEN k = 0 THEN 0 ELSE k * ln(rate) END - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf FROM l, range(200) t(k)),
+d AS (SELECT doc_id, source, ('0x' || substr(md5('1:draw:' || doc_id || ':1'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents),
+n AS (SELECT d.doc_id, d.source, (SELECT count(*) FROM p WHERE p.source IS NOT DISTINCT FROM d.source AND p.cdf <= d.u) AS copies FROM d),
+c AS (SELECT doc_id, source, copies, unnest(range(copies)) AS copy FROM n)
+SELECT doc_id, source, copy, copies, row_number() OVER (ORDER BY substr(md5('1:place:' || doc_id || ':' || copy), 1, 13), doc_id, copy) - 1 AS position FROM c"""
+
+_EXACT = r"""
+WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, text_sha256
+FROM t WINDOW w AS (PARTITION BY text_sha256)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": _CHAT, "op4_quality_rules": _QUALITY_VERDICTS}
+    return {"op1_chat_formatting": _CHAT, "op4_quality_rules": _QUALITY_VERDICTS, "op8_mixing": _MIXING, "op9_exact_dedup": _EXACT}
