@@ -7,6 +7,7 @@ all executors, so a lost executor costs only the tasks it was running.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -66,14 +67,24 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def written(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
+def written(df: DataFrame, tag: str, path: str | None = None, compression: str = "snappy") -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: lineage ends here."""
     spark = df.sparkSession
     path = path or table_path(spark, tag)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that nothing refers to any more.
+
+    Spark does so when the driver's JVM collects its garbage, which it seldom does by
+    itself; operators of several passes call this between them.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def settled(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: for loop states, whose partitioning is worth keeping."""
     shared_dir(df.sparkSession)
