@@ -12,9 +12,12 @@ from lacewing.llm.chat import chat_digests, format_chats
 from lacewing.llm.exact import exact_duplicates
 from lacewing.llm.minhash import near_duplicates
 from lacewing.llm.mixing import mix_sources, mixture_order
+from lacewing.llm.packing import pack_documents
 from lacewing.llm.quality import quality_rules
 from lacewing.llm.sharding import shard_documents
+from lacewing.llm.token_files import read_token_files, write_token_files
 from lacewing.llm.tokens import count_tokens
+from lacewing.session import table_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +46,16 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents")).drop("source")
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = table_path(spark, "tokens")
+    write_token_files(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end=1)
+    return read_token_files(spark, path, ids=False)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=0, length=1024)
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixture_order(mix_sources(docs, temperature=0.7, seed=1))
@@ -57,7 +70,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_token_counts, op3_sharding, op4_quality_rules, op8_mixing, op9_exact_dedup, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_token_counts, op3_sharding, op4_quality_rules, op5_token_files, op7_packing, op8_mixing, op9_exact_dedup, op10_minhash_near_dedup)}
 
 
 _CHAT = r"""
