@@ -7,7 +7,8 @@
    settle nearly all buckets.
 3. Where a bucket still holds classes of different components, all pairs across
    components are compared by signature in blocks of bounded size, and those that may
-   reach the threshold are confirmed on full sets. No pair in a bucket is left out.
+   reach the threshold are confirmed on full sets in the block, unless links found
+   there have joined their components. No pair in a bucket is left out, and none is a row.
 4. Components by alternating large-star and small-star.
 """
 
@@ -18,7 +19,6 @@ from dataclasses import dataclass
 from hashlib import blake2b
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -123,42 +123,129 @@ def _likely(pairs: DataFrame, classes: DataFrame, params: MinHash) -> DataFrame:
     return pairs.join(sig("u"), "u").join(sig("v"), "v").select("u", "v", "sig_u", "sig_v").mapInArrow(agreeing, "u long, v long")
 
 
+def _sets_of(ids: DataFrame, docs: DataFrame, params: MinHash, broadcast_ids: int) -> DataFrame:
+    """``(id, shingles)`` of the documents named in ``ids(doc_id)``."""
+    ids = written(ids.distinct(), "ids")
+    few = ids.count() <= broadcast_ids
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    return written(shingle_sets(texts, params), "sets")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, params: MinHash, broadcast_ids: int) -> DataFrame:
     """The pairs that reach the threshold on their full shingle sets."""
     pairs = written(pairs, "pairs")
-    ids = written(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), "ids")
-    few = ids.count() <= broadcast_ids
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
-    sets = written(shingle_sets(texts, params), "sets")
+    sets = _sets_of(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")), docs, params, broadcast_ids)
     side = lambda c: sets.select(F.col("id").alias(c), F.col("shingles").alias(f"set_{c}"))
     both = pairs.join(side("u"), "u").join(side("v"), "v")
     shared = both.select("u", "v", F.size(F.array_intersect("set_u", "set_v")).alias("shared"), (F.size("set_u") + F.size("set_v")).alias("sizes"))
     return written(shared.filter(100 * F.col("shared") >= params.threshold * (F.col("sizes") - F.col("shared"))).select("u", "v").distinct(), "links")
 
 
-def _across(bands: DataFrame, labels: DataFrame, classes: DataFrame, params: MinHash) -> DataFrame:
-    """Pairs of a bucket in different components whose signatures agree often enough."""
-    named = bands.join(labels, bands["id"] == labels["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+def _groups(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[pa.Table]:
+    """The runs of rows that agree in the first ``by`` columns, of rows sorted by them."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = [b.column(i).to_numpy() for i in range(by)]
+        cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
+        if held and any(held[-1].column(i)[0].as_py() != keys[i][0] for i in range(by)):
+            yield pa.Table.from_batches(held)
+            held = []
+        starts = [0, *cuts.tolist()]
+        for k, at in enumerate(starts):
+            piece = b.slice(at, (starts[k + 1] if k + 1 < len(starts) else b.num_rows) - at)
+            held.append(piece)
+            if k + 1 < len(starts):
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _rivals(members: DataFrame, params: MinHash) -> DataFrame:
+    """Of each block the members with likely partners in another component, and those partners.
+
+    ``(key, i, j, id, component, partners)``: a pair stands once, at the member with the
+    lesser id, in the first band that it shares; a partner has a row of its own.
+    """
+    least, shape = params.margin * params.hashes, (-1, params.bands, params.rows)
+    schema = "key long, i int, j int, id long, component long, partners array<long>"
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, 3):
+            ids, of, chunk = (g.column(c).to_numpy() for c in ("id", "component", "chunk"))
+            sig = np.frombuffer(b"".join(g.column("sig").to_pylist()), np.uint32).reshape(len(ids), -1)
+            key, i, j, band = (g.column(c)[0].as_py() for c in ("key", "i", "j", "band"))
+            partners: dict[int, list[int]] = {}
+            for k in range(len(ids)):
+                near = np.flatnonzero((of != of[k]) & (ids > ids[k]) & ((chunk != chunk[k]) | (i == j)))
+                if len(near):
+                    same = sig[near] == sig[k]
+                    enough = same.sum(axis=1) >= least
+                    near, same = near[enough], same[enough]
+                if len(near):
+                    near = near[same.reshape(shape).all(axis=2).argmax(axis=1) == band]
+                if len(near):
+                    partners[k] = ids[near].tolist()
+                    for x in near.tolist():
+                        partners.setdefault(x, [])
+            if partners:
+                at, n = sorted(partners), len(partners)
+                yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array([i] * n, pa.int32()), pa.array([j] * n, pa.int32()), pa.array(ids[at]), pa.array(of[at]), pa.array([partners[k] for k in at], pa.list_(pa.int64()))], names=["key", "i", "j", "id", "component", "partners"])
+
+    dealt = members.select("key", "i", "j", "id", "component", "chunk", "sig", "band").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(compared, schema)
+
+
+def _settled_rivals(rivals: DataFrame, params: MinHash) -> DataFrame:
+    """Links that join components, found on full sets: at most one fewer than a block's members."""
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, 3):
+            ids = g.column("id").to_pylist()
+            of = dict(zip(ids, g.column("component").to_pylist(), strict=True))
+            sets = {x: s.values.to_numpy() for x, s in zip(ids, g.column("shingles"), strict=True)}
+            joined: dict[int, int] = {}
+
+            def top(c: int, joined: dict[int, int] = joined) -> int:
+                while c in joined:
+                    c = joined[c]
+                return c
+
+            us, vs = [], []
+            for u, partners in zip(ids, g.column("partners").to_pylist(), strict=True):
+                for v in partners:
+                    a, b = top(of[u]), top(of[v])
+                    if a == b:
+                        continue
+                    shared = len(np.intersect1d(sets[u], sets[v], assume_unique=True))
+                    if 100 * shared >= params.threshold * (len(sets[u]) + len(sets[v]) - shared):
+                        joined[max(a, b)] = min(a, b)
+                        us.append(u)
+                        vs.append(v)
+            if us:
+                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    dealt = rivals.select("key", "i", "j", "id", "component", "partners", "shingles").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(linked, "u long, v long")
+
+
+def _across(bands: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, params: MinHash, broadcast_ids: int) -> DataFrame:
+    """Confirmed links between different components that share a bucket.
+
+    A bucket of many classes is dealt to blocks, one for each pair of its chunks, so no
+    task gets a bucket; pairs are looked at where they are and only links come out.
+    """
+    named = bands.join(labels, bands["id"] == labels["node"], "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"))
     mixed = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n")).filter("a != b").select("key", F.ceil(F.col("n") / params.block).cast("int").alias("g"))
     members = named.join(mixed, "key").join(classes.select("id", "sig"), "id")
     chunk = F.pmod(F.xxhash64("id"), F.col("g")).cast("int")
     blocks = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.struct(F.least(chunk, j).alias("i"), F.greatest(chunk, j).alias("j")))
-    members = members.withColumn("chunk", chunk).withColumn("at", F.explode(blocks)).select("key", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "chunk", "id", "component", "sig")
-    least = params.margin * params.hashes
-
-    def compared(group: pd.DataFrame) -> pd.DataFrame:
-        ids, of, chunk = (group[c].to_numpy() for c in ("id", "component", "chunk"))
-        sig = np.frombuffer(b"".join(group["sig"]), np.uint32).reshape(len(ids), -1)
-        own = group["i"].iloc[0] == group["j"].iloc[0]
-        out = []
-        for k in range(len(ids)):
-            others = (of != of[k]) & (ids > ids[k]) & ((chunk != chunk[k]) | own)
-            near = np.flatnonzero(others)
-            near = near[(sig[near] == sig[k]).sum(axis=1) >= least]
-            out += [(int(ids[k]), int(ids[x])) for x in near]
-        return pd.DataFrame(out, columns=["u", "v"], dtype="int64")
-
-    return members.groupBy("key", "i", "j").applyInPandas(compared, "u long, v long").distinct()
+    members = members.withColumn("chunk", chunk).withColumn("at", F.explode(blocks)).withColumns({"i": F.col("at.i"), "j": F.col("at.j")})
+    rivals = written(_rivals(members, params), "rivals")
+    sets = _sets_of(rivals.select(F.col("id").alias("doc_id")), docs, params, broadcast_ids)
+    return written(_settled_rivals(rivals.join(sets, "id"), params).distinct(), "links")
 
 
 def near_duplicates(docs: DataFrame, params: MinHash | None = None, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
@@ -177,12 +264,12 @@ def near_duplicates(docs: DataFrame, params: MinHash | None = None, broadcast_id
     classes = written(known.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes")
     width = 4 * params.rows
     keys = F.transform(F.sequence(F.lit(0), F.lit(params.bands - 1)), lambda i: F.xxhash64(F.substring(F.col("sig"), i * width + 1, F.lit(width)), i))
-    bands = written(classes.select("id", F.explode(keys).alias("key")), "bands")
+    bands = written(classes.select("id", F.posexplode(keys).alias("band", "key")), "bands")
     least = bands.groupBy("key").agg(F.min("id").alias("u"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "u")
     stars = bands.join(least, "key").filter("id != u").select("u", F.col("id").alias("v")).distinct()
     links = _confirmed(_likely(stars, classes, params), docs, params, broadcast_ids)
     labels = connected_components(links)
-    more = _confirmed(_across(bands, labels, classes, params), docs, params, broadcast_ids)
+    more = _across(bands, labels, classes, docs, params, broadcast_ids)
     # copies under an id that another class has as well join the classes
     same = known.groupBy("digest", "doc_id").agg(F.lit(1)).join(classes.select("digest", "id"), "digest").filter("doc_id != id").select(F.col("id").alias("u"), F.col("doc_id").alias("v"))
     repeated = known.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a != b").select(F.col("doc_id").alias("v"))
