@@ -147,7 +147,7 @@ def _groups(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[pa.Table]:
     for b in batches:
         if not b.num_rows:
             continue
-        keys = [b.column(i).to_numpy() for i in range(by)]
+        keys = [b.column(i).to_numpy(zero_copy_only=False) for i in range(by)]
         cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
         if held and any(held[-1].column(i)[0].as_py() != keys[i][0] for i in range(by)):
             yield pa.Table.from_batches(held)

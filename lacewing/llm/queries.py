@@ -15,6 +15,7 @@ from lacewing.llm.mixing import mix_sources, mixture_order
 from lacewing.llm.packing import pack_documents
 from lacewing.llm.quality import quality_rules
 from lacewing.llm.sharding import shard_documents
+from lacewing.llm.substring import remove_repeats
 from lacewing.llm.token_files import read_token_files, write_token_files
 from lacewing.llm.tokens import count_tokens
 from lacewing.session import table_path
@@ -52,6 +53,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path, ids=False)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"), texts=False)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=0, length=1024)
 
@@ -70,7 +75,7 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_token_counts, op3_sharding, op4_quality_rules, op5_token_files, op7_packing, op8_mixing, op9_exact_dedup, op10_minhash_near_dedup)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_token_counts, op3_sharding, op4_quality_rules, op5_token_files, op6_substring_dedup, op7_packing, op8_mixing, op9_exact_dedup, op10_minhash_near_dedup)}
 
 
 _CHAT = r"""
