@@ -104,7 +104,7 @@ def cutting_stock(counts: dict[int, int], room: int, gap: float = 1e-3, max_roun
 
 def pieces(docs: DataFrame, tokenizer: str, end: int, length: int) -> DataFrame:
     """``(row, doc_id, start, length, ids_crc32, doc_tokens, full)``: documents cut at multiples of ``length``."""
-    tail = np.array([end], "<u4").tobytes()
+    tail = np.array([end], np.uint32)
     names = ["row", "doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +114,7 @@ def pieces(docs: DataFrame, tokenizer: str, end: int, length: int) -> DataFrame:
                 b = batch.slice(at, 512)
                 out = []
                 for row, doc, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    ids = e.ids(text or "") + tail
+                    ids = np.concatenate([e.ids(text or ""), tail]).astype("<u4").tobytes()
                     n = len(ids) // 4
                     out += [(row, doc, s, min(length, n - s), zlib.crc32(ids[4 * s : 4 * (s + length)]), n) for s in range(0, n, length)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)

@@ -35,15 +35,13 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.R
 
 def tokenized(docs: DataFrame, tokenizer: str, end: int | None) -> DataFrame:
     """``(doc_id, ids)``: ids of the whole text, little-endian, 2 bytes each where they fit, and the end id."""
-    tail = b"" if end is None else np.array([end], "<u4").tobytes()
+    tail = np.array([] if end is None else [end], np.uint32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(tokenizer)
-        short = e.size <= 1 << 16
+        kind = "<u2" if e.size <= 1 << 16 else "<u4"
         for b in _slices(batches):
-            ids = [e.ids(t or "") + tail for t in b.column(1).to_pylist()]
-            if short:
-                ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
+            ids = [np.concatenate([e.ids(t or ""), tail]).astype(kind).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
