@@ -3,13 +3,16 @@
 Documents are cut into full sequences and one remainder each. Only the histogram of
 remainder lengths (at most ``length`` - 1 numbers) goes to the driver, where a linear
 program over patterns (multisets of lengths that fit a sequence) is solved by column
-generation: a knapsack dynamic program finds the pattern that the current duals price
-best. Patterns are rounded down, the few remainders left over are packed best-fit, and
-the patterns are dealt to the documents by their rank within their length.
+generation. Its first columns are best-fit patterns of the histogram, scaled down to a
+bounded number of items. The duals "tokens per sequence" bound its value from below; only
+while it is further off than ``gap`` does a knapsack dynamic program price new patterns
+for the simplex method. Patterns are rounded down, what is left is packed best-fit, and
+patterns are dealt to the documents by their rank within their length.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -26,10 +29,12 @@ from lacewing.session import written
 
 #: Rows of one length are ranked in so many independent parts.
 PARTS = 64
+#: Items that best fit takes at a time.
+ITEMS = 20_000
 
 
-def best_pattern(lengths: np.ndarray, values: np.ndarray, room: int) -> tuple[float, Counter]:
-    """The multiset of ``lengths`` (ascending) with the greatest value within ``room``."""
+def knapsack(lengths: np.ndarray, values: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
+    """The greatest value of a multiset of ``lengths`` (ascending) within each room, and its last pick."""
     best, pick = np.zeros(room + 1), np.full(room + 1, -1)
     fits = np.searchsorted(lengths, np.arange(room + 1), side="right")
     for w in range(1, room + 1):
@@ -39,6 +44,11 @@ def best_pattern(lengths: np.ndarray, values: np.ndarray, room: int) -> tuple[fl
             k = int(gain.argmax())
             if gain[k] > best[w] + 1e-12:
                 best[w], pick[w] = gain[k], k
+    return best, pick
+
+
+def picked(lengths: np.ndarray, pick: np.ndarray, room: int) -> Counter:
+    """The multiset (index -> copies) that a knapsack table chose for ``room``."""
     out, w = Counter(), room
     while w > 0:
         if pick[w] < 0:
@@ -46,48 +56,120 @@ def best_pattern(lengths: np.ndarray, values: np.ndarray, room: int) -> tuple[fl
         else:
             out[int(pick[w])] += 1
             w -= int(lengths[pick[w]])
-    return float(best[room]), out
+    return out
+
+
+def _first_basis(lengths: np.ndarray, need: np.ndarray, room: int) -> tuple[list[Counter], np.ndarray]:
+    """A feasible start: each length with the longest that still fits beside it, else alone."""
+    basis, x, left = [Counter() for _ in lengths], np.zeros(len(lengths)), need.copy()
+    for i in range(len(lengths) - 1, -1, -1):
+        if basis[i]:
+            continue
+        rest = np.searchsorted(lengths, room - lengths[i], side="right") - 1
+        j = next((k for k in range(rest, max(rest - 8, -1), -1) if k < i and not basis[k]), None)
+        few, many = (i, j) if j is None or left[i] <= left[j] else (j, i)
+        if many is not None and few != many:
+            basis[few], x[few] = Counter({i: 1, j: 1}), left[few]
+            left[many] -= left[few]
+            basis[many] = Counter({many: int(room // lengths[many])})
+            x[many] = left[many] / (room // lengths[many])
+        else:
+            basis[i] = Counter({i: int(room // lengths[i])})
+            x[i] = left[i] / (room // lengths[i])
+    return basis, x
 
 
-def cutting_stock(counts: dict[int, int], room: int, gap: float = 1e-3, max_rounds: int = 4000) -> list[tuple[dict[int, int], int]]:
+def cutting_stock(counts: dict[int, int], room: int, gap: float = 5e-3, max_rounds: int = 400) -> list[tuple[dict[int, int], int]]:
     """Patterns (length -> copies) and how often each is used; together they use ``counts`` exactly.
 
-    The linear program is solved by the revised simplex method until its value is within
-    ``gap`` of a lower bound; rounding it down leaves less than one pattern per length,
-    whose pieces are packed by best fit.
+    Ends with the best-fit columns where they are within ``gap`` of the lower bound; else
+    with the better of them and the linear program after ``max_rounds`` of generation.
     """
+    seeds = best_fit_patterns(counts, room)
+    used, least = sum(n for _, n in seeds), sum(k * n for k, n in counts.items()) / room
+    if used <= math.ceil(least * (1 + gap)):
+        return seeds
+    found = column_generation(counts, room, [p for p, _ in seeds], gap, max_rounds)
+    return found if sum(n for _, n in found) < used else seeds
+
+
+def best_fit_patterns(counts: dict[int, int], room: int, items: int = ITEMS) -> list[tuple[dict[int, int], int]]:
+    """Best-fit patterns of the histogram over a divisor that leaves at most ``items`` items, so often each.
+
+    What the division drops is a smaller histogram, packed in the same way; so patterns
+    grow with the logarithm of the number of documents.
+    """
+    left, out = {k: n for k, n in counts.items() if n > 0}, []
+    while left:
+        scale = max(1, sum(left.values()) // items)
+        pieces = [k for k, n in sorted(left.items()) for _ in range(n // scale)]
+        bins: dict[int, Counter] = {}
+        for k, b in zip(pieces, best_fit_decreasing(pieces, room), strict=True):
+            bins.setdefault(b, Counter())[k] += 1
+        same = Counter(tuple(sorted(b.items())) for b in bins.values())
+        out += [(dict(p), n * scale) for p, n in same.items()]
+        left = {k: n % scale for k, n in left.items() if n % scale}
+    return out
+
+
+def column_generation(counts: dict[int, int], room: int, seeds: list[dict[int, int]], gap: float, max_rounds: int, width: int = 256) -> list[tuple[dict[int, int], int]]:
+    """The linear program by the revised simplex method, rounded down, and best fit for the rest."""
     lengths = np.array(sorted(k for k, n in counts.items() if n > 0), np.int64)
     if not len(lengths):
         return []
     need = np.array([counts[int(k)] for k in lengths], float)
     m, least = len(lengths), float((lengths * need).sum()) / room
-    copies = (room // lengths).astype(float)
-    basis = [Counter({i: int(c)}) for i, c in enumerate(copies)]
-    inverse, x, bound = np.diag(1 / copies), need / copies, least
+    basis, x = _first_basis(lengths, need, room)
+    matrix = np.zeros((m, m))
+    for k, pattern in enumerate(basis):
+        for i, c in pattern.items():
+            matrix[i, k] = c
+    inverse, bound = np.linalg.inv(matrix), least
+    at = {int(k): i for i, k in enumerate(lengths)}
+    pool = [Counter({at[k]: c for k, c in p.items()}) for p in seeds[: 4 * width]]
+    columns = np.zeros((len(pool), m))
+    for k, pattern in enumerate(pool):
+        for i, c in pattern.items():
+            columns[k, i] = c
     for _ in range(max_rounds):
         if x.sum() <= bound * (1 + gap):
             break
         price = inverse.sum(axis=0)
-        value, pattern = best_pattern(lengths, price, room)
-        if value <= 1 + 1e-9:
-            break
-        bound = max(bound, float(price @ need) / value)
-        column = np.zeros(m)
-        for i, c in pattern.items():
-            column[i] = c
-        step = inverse @ column
+        worth = columns @ price
+        if not len(pool) or worth.max() <= 1 + 1e-7:
+            best, pick = knapsack(lengths, price, room)
+            if best[room] <= 1 + 1e-7:
+                break
+            bound = max(bound, float(price @ need) / float(best[room]))
+            # with each length the best that fits beside it: one table prices many columns
+            gains = price + best[room - lengths]
+            pool = []
+            for i in np.argsort(-gains, kind="stable")[:width].tolist():
+                if gains[i] > 1 + 1e-7:
+                    pattern = picked(lengths, pick, room - int(lengths[i]))
+                    pattern[i] += 1
+                    pool.append(pattern)
+            columns = np.zeros((len(pool), m))
+            for k, pattern in enumerate(pool):
+                for i, c in pattern.items():
+                    columns[k, i] = c
+            worth = columns @ price
+        enter = int(worth.argmax())
+        used = np.flatnonzero(columns[enter])
+        step = inverse[:, used] @ columns[enter, used]
         ratio = np.full(m, np.inf)
         np.divide(x, step, out=ratio, where=step > 1e-9)
         out = int(ratio.argmin())
         if not np.isfinite(ratio[out]):
             break
-        row = inverse[out] / step[out]
+        row, by = inverse[out] / step[out], ratio[out]
         step[out] = 0
-        inverse -= np.outer(step, row)
+        rows, cols = np.flatnonzero(np.abs(step) > 1e-12), np.flatnonzero(row)
+        inverse[np.ix_(rows, cols)] -= np.outer(step[rows], row[cols])
         inverse[out] = row
-        x = np.maximum(x - ratio[out] * step, 0)
-        x[out] = ratio[out]
-        basis[out] = pattern
+        x = np.maximum(x - by * step, 0)
+        x[out] = by
+        basis[out] = pool[enter]
     left, found = need.astype(np.int64), []
     for pattern, often in zip(basis, x, strict=True):
         often = min([int(often + 1e-9), *(int(left[i] // c) for i, c in pattern.items())])
@@ -95,11 +177,7 @@ def cutting_stock(counts: dict[int, int], room: int, gap: float = 1e-3, max_roun
             found.append(({int(lengths[i]): c for i, c in pattern.items()}, often))
             for i, c in pattern.items():
                 left[i] -= often * c
-    rest = [int(k) for k, n in zip(lengths, left, strict=True) for _ in range(n)]
-    bins: dict[int, Counter] = {}
-    for k, b in zip(rest, best_fit_decreasing(rest, room), strict=True):
-        bins.setdefault(b, Counter())[k] += 1
-    return found + [(dict(b), 1) for b in bins.values()]
+    return found + best_fit_patterns({int(k): int(n) for k, n in zip(lengths, left, strict=True)}, room)
 
 
 def pieces(docs: DataFrame, tokenizer: str, end: int, length: int) -> DataFrame:
@@ -141,7 +219,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end: int = 0, length: int =
             used[size] += copies * often
             offset += size * copies
         first += often
-    # a row per pattern and length: the patterns are at most twice the lengths, by rounding
+    # a row per pattern and length: ITEMS rows for each doubling digit of the histogram at most
     table = spark.createDataFrame(ranges, "size long, low long, high long, often long, first long, base long")
     own = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     rest = cut.filter("NOT full").withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))

@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 from lacewing.llm.encode import TextEncoder
 from lacewing.llm.huffman import SEGMENT, Code, code_lengths
-from lacewing.llm.packing import best_pattern, cutting_stock, pack_documents
+from lacewing.llm.packing import column_generation, cutting_stock, knapsack, pack_documents, picked
 from lacewing.llm.token_files import read_token_files, write_token_files
 
 WORD, BYTE = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json"))
@@ -89,12 +89,13 @@ def test_files_are_read_back_in_order(spark, tmp_path, monkeypatch):
     assert read_token_files(spark, str(tmp_path / "none")).count() == 0
 
 
-def test_best_pattern_matches_brute_force():
+def test_knapsack_matches_brute_force():
     rng = random.Random(4)
     for _ in range(30):
         lengths = np.array(sorted(rng.sample(range(1, 25), 5)))
         values = np.array([rng.random() for _ in lengths])
-        value, pattern = best_pattern(lengths, values, 30)
+        best, pick = knapsack(lengths, values, 30)
+        value, pattern = float(best[30]), picked(lengths, pick, 30)
         assert sum(c * int(lengths[i]) for i, c in pattern.items()) <= 30
         assert value == pytest.approx(sum(c * values[i] for i, c in pattern.items()))
 
@@ -122,6 +123,18 @@ def test_cutting_stock_uses_all_with_little_waste(seed):
     assert cutting_stock({}, 256) == []
 
 
+def test_column_generation_solves_what_best_fit_does_not():
+    # thirds and halves of 60 that best fit mixes badly
+    counts = {30: 400, 29: 400, 16: 800, 15: 800, 14: 800}
+    plan = column_generation(counts, 60, [], 1e-6, 500)
+    used = Counter()
+    for pattern, often in plan:
+        assert sum(k * c for k, c in pattern.items()) <= 60
+        used += Counter({k: c * often for k, c in pattern.items()})
+    assert used == counts
+    assert sum(n for _, n in plan) <= 1.005 * sum(k * n for k, n in counts.items()) / 60 + 5
+
+
 def test_pieces_cover_documents_and_sequences(spark):
     rows, t = documents(5, 500), Tokenizer.from_file(BYTE)
     df = spark.createDataFrame([(*r, 7, 8) for r in rows], SCHEMA)
