@@ -59,24 +59,27 @@ def picked(lengths: np.ndarray, pick: np.ndarray, room: int) -> Counter:
     return out
 
 
-def _first_basis(lengths: np.ndarray, need: np.ndarray, room: int) -> tuple[list[Counter], np.ndarray]:
-    """A feasible start: each length with the longest that still fits beside it, else alone."""
-    basis, x, left = [Counter() for _ in lengths], np.zeros(len(lengths)), need.copy()
-    for i in range(len(lengths) - 1, -1, -1):
-        if basis[i]:
+def _first_basis(lengths: np.ndarray, need: np.ndarray, room: int) -> tuple[list[Counter], np.ndarray, np.ndarray]:
+    """A feasible start and the inverse of its matrix.
+
+    Each length is paired with a long one that fits beside it, as often as the rarer of
+    the two; the others, and what is left of the more frequent, stand alone.
+    """
+    m = len(lengths)
+    copies = room // lengths
+    basis, x, inverse = [Counter({i: int(c)}) for i, c in enumerate(copies)], need / copies, np.diag(1.0 / copies)
+    open_lengths = set(range(m))
+    for i in range(m - 1, -1, -1):
+        rest = int(np.searchsorted(lengths, room - lengths[i], side="right")) - 1
+        j = next((k for k in range(min(rest, i - 1), max(rest - 8, -1), -1) if k in open_lengths), None)
+        if i not in open_lengths or j is None:
             continue
-        rest = np.searchsorted(lengths, room - lengths[i], side="right") - 1
-        j = next((k for k in range(rest, max(rest - 8, -1), -1) if k < i and not basis[k]), None)
-        few, many = (i, j) if j is None or left[i] <= left[j] else (j, i)
-        if many is not None and few != many:
-            basis[few], x[few] = Counter({i: 1, j: 1}), left[few]
-            left[many] -= left[few]
-            basis[many] = Counter({many: int(room // lengths[many])})
-            x[many] = left[many] / (room // lengths[many])
-        else:
-            basis[i] = Counter({i: int(room // lengths[i])})
-            x[i] = left[i] / (room // lengths[i])
-    return basis, x
+        open_lengths -= {i, j}
+        few, many = (i, j) if need[i] <= need[j] else (j, i)
+        basis[few], x[few] = Counter({i: 1, j: 1}), need[few]
+        x[many] = (need[many] - need[few]) / copies[many]
+        inverse[few, few], inverse[many, few] = 1.0, -1.0 / copies[many]
+    return basis, x, inverse
 
 
 def cutting_stock(counts: dict[int, int], room: int, gap: float = 5e-3, max_rounds: int = 400) -> list[tuple[dict[int, int], int]]:
@@ -119,12 +122,8 @@ def column_generation(counts: dict[int, int], room: int, seeds: list[dict[int, i
         return []
     need = np.array([counts[int(k)] for k in lengths], float)
     m, least = len(lengths), float((lengths * need).sum()) / room
-    basis, x = _first_basis(lengths, need, room)
-    matrix = np.zeros((m, m))
-    for k, pattern in enumerate(basis):
-        for i, c in pattern.items():
-            matrix[i, k] = c
-    inverse, bound = np.linalg.inv(matrix), least
+    basis, x, inverse = _first_basis(lengths, need, room)
+    bound = least
     at = {int(k): i for i, k in enumerate(lengths)}
     pool = [Counter({at[k]: c for k, c in p.items()}) for p in seeds[: 4 * width]]
     columns = np.zeros((len(pool), m))

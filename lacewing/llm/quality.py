@@ -87,3 +87,21 @@ def quality_rules(docs: DataFrame, limit: float = 0.8, host: str = "source", bro
         rejected = F.broadcast(rejected)
     out = figures.join(rejected, F.col(host).eqNullSafe(F.col("__host")), "left")
     return out.withColumn("kept", ~F.col("base_failed") & F.col("__bad").isNull()).drop("__host", "__bad")
+
+
+def keep_good_documents(docs: DataFrame, limit: float = 0.8, host: str = "source", broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
+    """The rows of ``docs`` that ``quality_rules`` keeps, with all their columns.
+
+    Each row goes by its own verdict, whatever its ``doc_id``. The rows that pass by
+    themselves are written once; the hosts' verdicts then need no second look at texts.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), "text", F.col(host).alias("__host"))
+    judged = document_rules(rows, ["__row", "__host"])
+    passed = F.when(~F.col("base_failed"), F.col("__row")).alias("__row")
+    judged = written(judged.select(passed, "__host", "base_failed"), "judged")
+    rejected = host_verdicts(judged, limit, "__host").filter("rejected").select(F.col("__host").alias("__bad"))
+    rejected = written(rejected, "rejected")
+    if rejected.count() <= broadcast_hosts:
+        rejected = F.broadcast(rejected)
+    kept = judged.filter("NOT base_failed").join(rejected, F.col("__host").eqNullSafe(F.col("__bad")), "left_anti")
+    return kept.select(*[F.col("__row")[c].alias(c) for c in docs.columns])

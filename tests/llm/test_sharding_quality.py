@@ -4,7 +4,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from lacewing.llm.quality import host_verdicts, quality_rules
+from lacewing.llm.quality import host_verdicts, keep_good_documents, quality_rules
 from lacewing.llm.sharding import BestFitTree, best_fit_decreasing, equal_bins, shard_documents
 
 SCHEMA = "doc_id long, text string, source string, shard int, kept string"
@@ -117,7 +117,12 @@ def test_hosts_are_judged_by_shrunk_rates(spark, broadcast_hosts):
     assert kept["spam", False] == 300
     assert kept[None, True] == 2
     assert sum(kept.values()) == len(rows)
+    stay = keep_good_documents(df, broadcast_hosts=broadcast_hosts)
+    assert stay.columns == df.columns
+    verdicts = {(r["doc_id"], r["source"]): r["kept"] for r in out.collect()}
+    assert Counter(map(tuple, stay.collect())) == Counter(r for r in rows if verdicts[r[0], r[2]])
     rates = {r["source"]: r["rate"] for r in host_verdicts(out).collect()}
     assert rates["small1"] > 0
     assert rates["tiny"] < 1
     assert quality_rules(df.limit(0)).count() == 0
+    assert keep_good_documents(df.limit(0)).count() == 0
