@@ -76,31 +76,39 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
 
-def _packed(names: list[str], known: bool, bucket: np.ndarray, columns: list[np.ndarray], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """A row per bucket of the packed columns of its rows, in their order."""
+def _packed(head: tuple, bucket: np.ndarray, columns: list[np.ndarray], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """A row per bucket: the bucket, ``head``, and the packed columns of its rows, in their order."""
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-    rows = [(int(bucket[part[0]]), known, *[c[part].tobytes() for c in columns]) for part in np.split(order, cuts) if len(part)]
+    rows = [(int(bucket[part[0]]), *head, *[c[part].tobytes() for c in columns]) for part in np.split(order, cuts) if len(part)]
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], names=names)
-
-
-def _by_document(ids: np.ndarray, other: list[np.ndarray], values: np.ndarray, names: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """A row per document (and ``other`` keys) of its packed values."""
-    if not len(ids):
-        return
-    order = np.lexsort((values, *other[::-1], ids))
-    keys = [ids[order], *[o[order] for o in other]]
-    cuts = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-    starts = np.concatenate([[0], cuts])
-    packed = [x.astype(np.uint32).tobytes() for x in np.split(values[order], cuts)]
-    yield pa.RecordBatch.from_arrays([*[pa.array(k[starts].astype(np.int64)) for k in keys], pa.array(packed, pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
 
 def _joined(groups: pa.Table, column: str, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(groups.column(column).to_pylist()), kind)
 
 
+#: How places in documents travel back: packed by a hash of the document.
+FOUND = pa.schema([("bucket", pa.int32()), ("id", pa.binary()), ("tag", pa.binary()), ("place", pa.binary())])
+
+
+def _by_document(found: DataFrame, buckets: int) -> DataFrame:
+    """``(id, tag, places)``: a row per document of all its packed places."""
+    out = pa.schema([("id", pa.int64()), ("tag", pa.int64()), ("places", pa.binary())])
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, 1):
+            ids, tags, places = _joined(g, "id", "<i8"), _joined(g, "tag", "<i8"), _joined(g, "place", "<u4")
+            order = np.lexsort((places, tags, ids))
+            ids, tags, places = ids[order], tags[order], places[order]
+            cuts = np.flatnonzero((ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1])) + 1
+            starts = np.concatenate([[0], cuts])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[starts]), pa.array(tags[starts]), pa.array([x.tobytes() for x in np.split(places, cuts)], pa.binary())], schema=out)
+
+    return found.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(gathered, "id long, tag long, places binary")
+
+
 def _gathered(batches: Iterator[pa.RecordBatch], rows_of: Callable, flush: Callable) -> Iterator[pa.RecordBatch]:
     """Collect ``rows_of(row)`` of each row and hand them to ``flush`` in chunks."""
     held, n = [], 0
@@ -118,10 +126,8 @@ def _gathered(batches: Iterator[pa.RecordBatch], rows_of: Callable, flush: Calla
 
 
 def shared_anchors(docs: DataFrame, cover: Cover, buckets: int) -> DataFrame:
-    """``(id, at)``: for documents of ``docs(id, text)`` packed positions of anchors that occur twice or more."""
-    names = ["bucket", "known", "hash", "id", "at", "alone"]
-    schema = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), *[(n, pa.binary()) for n in names[2:]]])
-    out = pa.schema([("id", pa.int64()), ("at", pa.binary())])
+    """``(id, places)``: for documents of ``docs(id, text)`` packed positions of anchors that occur twice or more."""
+    schema = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), *[(n, pa.binary()) for n in ("hash", "id", "at", "alone")]])
 
     def of_document(id: int, text: str | None):
         words = _words(text)
@@ -135,9 +141,9 @@ def shared_anchors(docs: DataFrame, cover: Cover, buckets: int) -> DataFrame:
         _, first, which, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
         again = counts[which] > 1  # shared already: nobody has to be asked
         empty = np.zeros(int(again.sum()), "V0")
-        yield from _packed(names, True, ids[again] % buckets, [empty, ids[again], at[again], empty], schema)
+        yield from _packed((True,), ids[again] % buckets, [empty, ids[again], at[again], empty], schema)
         first = np.sort(first)
-        yield from _packed(names, False, (hashes[first] >> np.uint64(33)).astype(np.int64) % buckets, [hashes[first], ids[first], at[first], (~again[first]).astype(np.uint8)], schema)
+        yield from _packed((False,), (hashes[first] >> np.uint64(33)).astype(np.int64) % buckets, [hashes[first], ids[first], at[first], (~again[first]).astype(np.uint8)], schema)
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _gathered(batches, of_document, flush)
@@ -151,24 +157,23 @@ def shared_anchors(docs: DataFrame, cover: Cover, buckets: int) -> DataFrame:
                 shared = np.bincount(which, 2.0 - alone)[which] > 1
                 shared &= alone > 0
                 ids, at = ids[shared], at[shared]
-            yield from _by_document(ids, [], at, ["id", "at"], out)
+            yield from _packed((), ids % buckets, [ids, np.zeros(len(ids), np.int64), at], FOUND)
 
     sent = docs.select("id", "text").mapInArrow(asked, "bucket int, known boolean, hash binary, id binary, at binary, alone binary")
-    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "known").mapInArrow(answered, "id long, at binary")
+    found = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "known").mapInArrow(answered, "bucket int, id binary, tag binary, place binary")
+    return _by_document(found, buckets).select("id", "places")
 
 
 def repeated_windows(docs: DataFrame, cover: Cover, buckets: int) -> DataFrame:
-    """``(id, tag, starts)``: packed starts of the windows that also start earlier.
+    """``(id, tag, places)``: packed starts of the windows that also start earlier.
 
-    ``docs(id, tag, text, at)`` has the shared anchors of its documents.
+    ``docs(id, tag, text, places)`` has the shared anchors of its documents.
     """
-    names = ["bucket", "known", "hash", "more", "id", "tag", "start"]
-    schema = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), *[(n, pa.binary()) for n in names[2:]]])
-    out = pa.schema([("id", pa.int64()), ("tag", pa.int64()), ("starts", pa.binary())])
+    schema = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), *[(n, pa.binary()) for n in ("hash", "more", "id", "tag", "start")]])
 
-    def of_document(id: int, tag: int, text: str | None, at: list[bytes]):
+    def of_document(id: int, tag: int, text: str | None, at: bytes):
         hashes = word_hashes(_words(text))
-        starts = cover.candidates(np.frombuffer(b"".join(at), "<u4").astype(np.int64), len(hashes))
+        starts = cover.candidates(np.frombuffer(at, "<u4").astype(np.int64), len(hashes))
         one, two = windows(hashes, cover.window)[starts], windows(mixed(~hashes), cover.window)[starts]
         n = len(starts)
         return one, (two >> np.uint64(32)).astype(np.uint32), np.full(n, id, np.int64), np.full(n, tag, np.int64), starts.astype(np.uint32)
@@ -187,9 +192,9 @@ def repeated_windows(docs: DataFrame, cover: Cover, buckets: int) -> DataFrame:
         one, two, ids, tags, starts = columns
         again = repeats(one, two, ids, starts)
         empty = np.zeros(int(again.sum()), "V0")
-        yield from _packed(names, True, ids[again] % buckets, [empty, empty, ids[again], tags[again], starts[again]], schema)
+        yield from _packed((True,), ids[again] % buckets, [empty, empty, ids[again], tags[again], starts[again]], schema)
         ask = ~again
-        yield from _packed(names, False, (one[ask] >> np.uint64(33)).astype(np.int64) % buckets, [c[ask] for c in columns], schema)
+        yield from _packed((False,), (one[ask] >> np.uint64(33)).astype(np.int64) % buckets, [c[ask] for c in columns], schema)
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _gathered(batches, of_document, flush)
@@ -200,14 +205,15 @@ def repeated_windows(docs: DataFrame, cover: Cover, buckets: int) -> DataFrame:
             if not g.column("known")[0].as_py():
                 again = repeats(_joined(g, "hash", "<u8"), _joined(g, "more", "<u4"), ids, starts)
                 ids, tags, starts = ids[again], tags[again], starts[again]
-            yield from _by_document(ids, [tags], starts, ["id", "tag", "starts"], out)
+            yield from _packed((), ids % buckets, [ids, tags, starts], FOUND)
 
-    sent = docs.select("id", "tag", "text", "at").mapInArrow(asked, "bucket int, known boolean, hash binary, more binary, id binary, tag binary, start binary")
-    return sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "known").mapInArrow(answered, "id long, tag long, starts binary")
+    sent = docs.select("id", "tag", "text", "places").mapInArrow(asked, "bucket int, known boolean, hash binary, more binary, id binary, tag binary, start binary")
+    found = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "known").mapInArrow(answered, "bucket int, id binary, tag binary, place binary")
+    return _by_document(found, buckets)
 
 
 def _kept(docs: DataFrame, cover: Cover, texts: bool) -> DataFrame:
-    """What is left of each row of ``docs(doc_id, text, starts)``."""
+    """What is left of each row of ``docs(doc_id, text, places)``: the starts of repeats, or null."""
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 4 + texts]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +225,7 @@ def _kept(docs: DataFrame, cover: Cover, texts: bool) -> DataFrame:
                     words = _words(text)
                     n, kept = len(words), words
                     if starts:
-                        s = np.frombuffer(b"".join(starts), "<u4").astype(np.int64)
+                        s = np.frombuffer(starts, "<u4").astype(np.int64)
                         change = np.zeros(n + 1, np.int64)
                         np.add.at(change, s, 1)
                         np.add.at(change, s + cover.window, -1)
@@ -229,7 +235,7 @@ def _kept(docs: DataFrame, cover: Cover, texts: bool) -> DataFrame:
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)]], names=names)
 
-    return docs.select("doc_id", "text", "starts").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts)
+    return docs.select("doc_id", "text", "places").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts)
 
 
 def remove_repeats(docs: DataFrame, cover: Cover | None = None, texts: bool = True, buckets: int | None = None, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
@@ -256,12 +262,10 @@ def remove_repeats(docs: DataFrame, cover: Cover | None = None, texts: bool = Tr
     anchors = written(shared_anchors(named, cover, buckets), "anchors")
     tidy(spark)
     some, _ = split(anchors)
-    at = anchors.groupBy("id").agg(F.collect_list("at").alias("at"))
-    repeats = written(repeated_windows(some.join(at, "id"), cover, buckets), "repeats")
+    repeats = written(repeated_windows(some.join(anchors, "id"), cover, buckets), "repeats")
     tidy(spark)
     some, others = split(repeats)
-    starts = repeats.groupBy("id", "tag").agg(F.collect_list("starts").alias("starts"))
-    out = _kept(some.join(starts, ["id", "tag"], "left"), cover, texts)
+    out = _kept(some.join(repeats, ["id", "tag"], "left"), cover, texts)
     if others is not None:
-        out = out.unionByName(_kept(others.withColumn("starts", F.lit(None).cast("array<binary>")), cover, texts))
+        out = out.unionByName(_kept(others.withColumn("places", F.lit(None).cast("binary")), cover, texts))
     return out
