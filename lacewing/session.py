@@ -10,6 +10,8 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,6 +63,20 @@ def table_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
+_recorders: list[list[str]] = []
+
+
+@contextmanager
+def recording() -> Iterator[list[str]]:
+    """The paths of tables that ``written`` makes meanwhile, for whoever can tell when they are done with."""
+    paths: list[str] = []
+    _recorders.append(paths)
+    try:
+        yield paths
+    finally:
+        _recorders.remove(paths)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a table made by ``written`` before the application ends."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -70,7 +86,10 @@ def drop_path(spark: SparkSession, path: str) -> None:
 def written(df: DataFrame, tag: str, path: str | None = None, compression: str = "snappy") -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back: lineage ends here."""
     spark = df.sparkSession
-    path = path or table_path(spark, tag)
+    if path is None:
+        path = table_path(spark, tag)
+        for paths in _recorders:
+            paths.append(path)
     df.write.mode("overwrite").option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
