@@ -7,7 +7,7 @@ import time
 from lacewing import build_session
 from lacewing.queries import queries
 
-HEADLINE = ("degree", "pair_frequency", "roundtrip_filtered", "bfs_levels", "sssp", "sssp_compressed", "wcc", "cc_directed", "topo_levels", "pagerank_10", "pagerank_bipartite_10", "hits_5")
+HEADLINE = ("degree", "pair_frequency", "bfs_levels", "sssp", "wcc", "cc_directed", "topo_levels", "pagerank_10", "pagerank_bipartite_10", "hits_5")
 
 
 def main() -> None:
