@@ -13,6 +13,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lacewing.session import settled
+
 #: Symbols of one adjacency row that are compressed together. Longer rows are cut, so
 #: that no hub becomes one group; a rule never spans a cut.
 SEGMENT = 4096
@@ -90,10 +92,6 @@ class Graph(_Degrees):
         keys = ["src", "dst", *(["weight"] if "weight" in self.edges.columns else [])]
         return self.edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("mult")).persist()
 
-    @cached_property
-    def max_level(self) -> int:
-        return -1
-
     def symbols(self, segment: int = SEGMENT) -> DataFrame:
         """``(id, seg, pos, sym)``: adjacency rows as strings, in order, cut into segments."""
         row = Window.partitionBy("src")
@@ -171,11 +169,25 @@ class CompressedGraph(_Degrees):
 
     @cached_property
     def links(self) -> DataFrame:
-        """``(src, dst, mult, src_level, dst_level)``: the level of a vertex is null."""
-        levels = self.rule_order
-        down = levels.select(F.col("id").alias("dst"), F.col("level").alias("dst_level"))
-        up = levels.select(F.col("id").alias("src"), F.col("level").alias("src_level"))
-        return self.cedges.join(up, "src", "left").join(down, "dst", "left").persist()
+        """``(src, dst, mult)`` of the rows of vertices; ``dst`` is a vertex or a rule."""
+        return self.cedges.filter(~self.is_rule("src")).persist()
+
+    @cached_property
+    def rule_links(self) -> DataFrame:
+        """``(src, dst, mult)``: the vertices that a rule used in a row stands for, and how often.
+
+        Rules within rules are expanded here, once, in as many rounds as the logarithm of
+        their depth. Rows spell out the plain graph, so this is no longer than its edges.
+        """
+        links = self.cedges.filter(self.is_rule("src"))
+        while links.filter(self.is_rule("dst")).limit(1).count():
+            inner = links.select(F.col("src").alias("rule"), F.col("dst").alias("to"), F.col("mult").alias("times"))
+            nested = links.filter(self.is_rule("dst")).join(inner, F.col("dst") == F.col("rule"))
+            nested = nested.select("src", F.col("to").alias("dst"), (F.col("mult") * F.col("times")).alias("mult"))
+            links = links.filter(~self.is_rule("dst")).unionByName(nested)
+            links = settled(links.groupBy("src", "dst").agg(F.sum("mult").alias("mult")))
+        used = self.links.filter(self.is_rule("dst")).select(F.col("dst").alias("src")).distinct()
+        return links.join(used, "src", "left_semi").persist()
 
     def size(self) -> int:
         """Offsets plus symbols, as a CSR of rows and rules has them."""

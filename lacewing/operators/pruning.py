@@ -2,7 +2,7 @@
 
 Whether a rule goes depends on how often it is used in the unpruned grammar and on its
 length once its own inlined rules are spliced in. So decisions run bottom-up, one level
-of nesting at a time, and each level is a set of joins.
+of nesting at a time, on counts; bodies are spliced afterwards, nested ones by doubling.
 """
 
 from __future__ import annotations
@@ -15,37 +15,46 @@ from pyspark.sql import functions as F
 from lacewing.functions import indexed, rules_worth_inlining, rules_worth_inlining_decomposed
 from lacewing.model import CompressedGraph, GraphMeta
 from lacewing.operators.grammar import expanded
+from lacewing.plans.propagate import iterate
 from lacewing.session import settled
 
 
+def _verdicts(c: CompressedGraph, inline: Callable[[Column, Column], Column]) -> DataFrame:
+    """``(id, merged)`` of each rule, by counts alone: one small join a level of nesting."""
+    used = c.cedges.filter(c.is_rule("dst"))
+    freq = used.groupBy(F.col("dst").alias("id")).agg(F.sum("mult").alias("freq"))
+    bodies = c.strings.filter(c.is_rule("id"))
+    plain = bodies.groupBy("id").agg(F.count_if(~c.is_rule("sym")).alias("plain"))
+    between = settled(used.filter(c.is_rule("src")).select(F.col("src").alias("user"), F.col("dst").alias("id"), "mult"))
+    state = plain.join(freq, "id", "left").select("id", "plain", F.coalesce("freq", F.lit(0)).alias("freq"), F.lit(None).cast("long").alias("length"), F.lit(None).cast("boolean").alias("merged"))
+
+    def step(state: DataFrame, _: int) -> DataFrame:
+        spliced = F.col("mult") * F.when(F.col("merged"), F.col("length")).otherwise(1)
+        inner = between.join(state.select("id", "length", "merged"), "id").groupBy(F.col("user").alias("id"))
+        inner = inner.agg(F.sum(spliced).alias("inner"), F.bool_and(F.col("merged").isNotNull()).alias("known"))
+        s = state.join(inner, "id", "left").withColumn("known", F.coalesce("known", F.lit(True)))
+        s = s.withColumn("length", F.coalesce("length", F.when(F.col("known"), F.col("plain") + F.coalesce("inner", F.lit(0)))))
+        return s.select("id", "plain", "freq", "length", F.when(F.col("known"), inline(F.col("length"), F.col("freq"))).alias("merged"))
+
+    # Rules are acyclic, so each round decides one level more.
+    state = iterate(state, step, lambda s, _: s.filter("merged is null").limit(1).count() > 0, 1_000_000)
+    return state.select("id", "merged")
+
+
+def _bodies(strings: DataFrame) -> DataFrame:
+    return strings.select(F.col("id").alias("rule"), F.struct(F.col("seg").alias("rs"), F.col("pos").alias("rp")).alias("inner"), F.col("sym").alias("child"))
+
+
 def _pruned(c: CompressedGraph, inline: Callable[[Column, Column], Column]) -> CompressedGraph:
-    spark = c.spark
     if not c.meta.rule_cnt:
         return c
-    freq = c.strings.filter(c.is_rule("sym")).groupBy(F.col("sym").alias("id")).agg(F.count(F.lit(1)).alias("freq"))
-    bodies = c.strings.filter(c.is_rule("id"))
-    rules = settled(bodies.select("id").distinct().join(freq, "id", "left").select("id", F.coalesce("freq", F.lit(0)).alias("freq")))
-    decided = spark.createDataFrame([], "id long, merged boolean")
-    gone = spark.createDataFrame([], "rule long, inner struct<rs:long,rp:long>, child long")
-    while True:
-        open_rules = rules.join(decided, "id", "left_anti")
-        waiting = bodies.join(open_rules.select(F.col("id").alias("sym")), "sym", "left_semi").select("id").distinct()
-        ready = open_rules.join(waiting, "id", "left_anti")
-        now = bodies.join(ready.select("id"), "id", "left_semi")
-        now = settled(expanded(now, gone))
-        if not now.limit(1).count():
-            break
-        length = now.groupBy("id").agg(F.count(F.lit(1)).alias("length"))
-        verdict = length.join(rules, "id").select("id", inline(F.col("length"), F.col("freq")).alias("merged"))
-        decided = settled(decided.unionByName(verdict))
-        merged = decided.filter("merged").select("id")
-        body = now.join(merged, "id", "left_semi")
-        gone = settled(gone.unionByName(body.select(F.col("id").alias("rule"), F.struct(F.col("seg").alias("rs"), F.col("pos").alias("rp")).alias("inner"), F.col("sym").alias("child"))))
-        bodies = settled(bodies.join(ready.select("id"), "id", "left_anti").unionByName(now))
-    kept = decided.filter("not merged").select("id")
+    verdicts = settled(_verdicts(c, inline))
+    merged, kept = verdicts.filter("merged").select("id"), verdicts.filter("not merged").select("id")
+    gone = c.strings.filter(c.is_rule("id")).join(merged, "id", "left_semi")
+    while gone.join(merged.withColumnRenamed("id", "sym"), "sym", "left_semi").limit(1).count():
+        gone = settled(expanded(gone, _bodies(gone)))
     numbers = settled(indexed(kept, ["id"]).select("id", (F.col("idx") + c.meta.rule_base).alias("new")))
-    rows = expanded(c.strings.filter(~c.is_rule("id")), gone)
-    strings = rows.unionByName(bodies.join(kept, "id", "left_semi"))
+    strings = expanded(c.strings.join(merged, "id", "left_anti"), _bodies(gone))
     strings = _renumbered(_renumbered(strings, numbers, "id"), numbers, "sym")
     return CompressedGraph(settled(strings), c.vertices, c.edges, GraphMeta(c.meta.vertex_cnt, numbers.count(), c.meta.rule_base))
 
@@ -69,8 +78,7 @@ def flatten_rules(c: CompressedGraph) -> CompressedGraph:
     """The same rules, with rules inside rule bodies expanded: every rule is at one level."""
     bodies = c.strings.filter(c.is_rule("id"))
     while bodies.filter(c.is_rule("sym")).limit(1).count():
-        inner = bodies.select(F.col("id").alias("rule"), F.struct(F.col("seg").alias("rs"), F.col("pos").alias("rp")).alias("inner"), F.col("sym").alias("child"))
-        bodies = settled(expanded(bodies, inner))
+        bodies = settled(expanded(bodies, _bodies(bodies)))
     used = c.strings.filter(~c.is_rule("id")).filter(c.is_rule("sym")).select(F.col("sym").alias("id")).distinct()
     bodies = bodies.join(used, "id", "left_semi")
     strings = settled(c.strings.filter(~c.is_rule("id")).unionByName(bodies))

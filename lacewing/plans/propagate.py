@@ -1,15 +1,14 @@
 """Propagation along edges: the loop that all vertex programs share.
 
 ``push`` sends values one hop along original edges. On a compressed graph a hop may
-pass through rules; those are free, and each level of rules is one further join on the
-(much smaller) rule rows, so the answer for vertices is that of the plain graph.
+pass through a rule; that is free, and one further join with the vertices that rules
+stand for, so the answer for vertices is that of the plain graph.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,9 +19,12 @@ from lacewing.session import settled
 AGGREGATES = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
-def _sent(values: DataFrame, links: DataFrame, aggs: dict[str, str], source: str, target: str, keep: list[str]) -> DataFrame:
-    cols = [(F.col(c) * F.col("mult") if how == "sum" else F.col(c)).alias(c) for c, how in aggs.items()]
-    return values.join(links, values["id"] == links[source]).select(F.col(target).alias("to"), *cols, *keep)
+def _sent(values: DataFrame, links: DataFrame, aggs: dict[str, str], source: str, target: str, how: str = "inner") -> DataFrame:
+    """A message per link; with ``how="left"`` a value that no link takes on is its own message."""
+    links = links.select(F.col(source).alias("link_from"), F.col(target).alias("link_to"), "mult")
+    times = F.coalesce("mult", F.lit(1))
+    cols = [(F.col(c) * times if kind == "sum" else F.col(c)).alias(c) for c, kind in aggs.items()]
+    return values.join(links, F.col("id") == F.col("link_from"), how).select(F.coalesce("link_to", "id").alias("to"), *cols)
 
 
 def push(graph: Graph | CompressedGraph, values: DataFrame, aggs: dict[str, str], reverse: bool = False) -> DataFrame:
@@ -32,17 +34,17 @@ def push(graph: Graph | CompressedGraph, values: DataFrame, aggs: dict[str, str]
     edges as often as they occur. Receivers without a message have no row.
     """
     source, target = ("dst", "src") if reverse else ("src", "dst")
-    combined = [AGGREGATES[how](c).alias(c) for c, how in aggs.items()]
+
+    def combined(sent: DataFrame) -> DataFrame:
+        return sent.groupBy(F.col("to").alias("id")).agg(*[AGGREGATES[how](c).alias(c) for c, how in aggs.items()])
+
     if isinstance(graph, Graph):
-        return _sent(values, graph.links, aggs, source, target, []).groupBy(F.col("to").alias("id")).agg(*combined)
-    links, at, to = graph.links, f"{source}_level", f"{target}_level"
-    parts = [_sent(values, links.filter(F.col(at).isNull()), aggs, source, target, [to])]
-    levels = range(graph.max_level, -1, -1) if reverse else range(graph.max_level + 1)
-    for level in levels:
-        parts[-1] = settled(parts[-1].groupBy("to", to).agg(*combined))
-        arrived = reduce(DataFrame.unionByName, parts).filter(F.col(to) == level).groupBy(F.col("to").alias("id")).agg(*combined)
-        parts.append(_sent(arrived, links.filter(F.col(at) == level), aggs, source, target, [to]))
-    return reduce(DataFrame.unionByName, parts).filter(F.col(to).isNull()).groupBy(F.col("to").alias("id")).agg(*combined)
+        return combined(_sent(values, graph.links, aggs, source, target))
+    if not reverse:
+        return combined(_sent(combined(_sent(values, graph.links, aggs, source, target)), graph.rule_links, aggs, source, target, "left"))
+    values = values.select("id", *aggs)
+    through = combined(_sent(values, graph.rule_links, aggs, source, target))
+    return combined(_sent(values.unionByName(through), graph.links, aggs, source, target))
 
 
 def iterate(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], unfinished: Callable[[DataFrame, int], bool], max_iter: int) -> DataFrame:
