@@ -1,3 +1,3 @@
-from lacewing.functions.columns import indexed, rules_worth_inlining, rules_worth_inlining_decomposed, running_total
+from lacewing.functions.columns import indexed, placed_in_group, rules_worth_inlining, rules_worth_inlining_decomposed, running_total
 
-__all__ = ["indexed", "rules_worth_inlining", "rules_worth_inlining_decomposed", "running_total"]
+__all__ = ["indexed", "placed_in_group", "rules_worth_inlining", "rules_worth_inlining_decomposed", "running_total"]

@@ -57,3 +57,19 @@ def running_total(df: DataFrame, order: list[str], value: str, name: str = "offs
     before = Window.partitionBy(part).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
     own = F.coalesce(F.sum(value).over(before), F.lit(0))
     return df.withColumn("__own", own).join(offsets, part).withColumn(name, F.col("__own") + F.col("__before")).drop(part, place, "__own", "__before")
+
+
+def placed_in_group(df: DataFrame, group: str, order: list[str], name: str = "pos") -> DataFrame:
+    """Gapless numbers from 0 within each ``group`` in ``order``; no task holds a whole group.
+
+    Rows are range-partitioned, so only the first group of a partition can have begun
+    before it. What it has there is a row per partition and such group, and is broadcast.
+    """
+    df, part, place = _placed(df, [group, *order])
+    first = F.broadcast(df.groupBy(part).agg(F.min(group).alias(group)).select(group).distinct())
+    counts = df.join(first, group, "left_semi").groupBy(part, group).agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.broadcast(counts.select(part, group, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before")))
+    own = F.row_number().over(Window.partitionBy(part, group).orderBy(place)) - 1
+    out = df.withColumn("__own", own).join(before, [part, group], "left")
+    return out.withColumn(name, (F.col("__own") + F.coalesce("__before", F.lit(0))).cast("long")).drop(part, place, "__own", "__before")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacewing.session import settled
@@ -94,12 +94,12 @@ class Graph(_Degrees):
 
     def symbols(self, segment: int = SEGMENT) -> DataFrame:
         """``(id, seg, pos, sym)``: adjacency rows as strings, in order, cut into segments."""
-        row = Window.partitionBy("src")
-        order = ["pos"] if "pos" in self.edges.columns else ["dst"]
-        if order == ["pos"]:
+        from lacewing.functions import placed_in_group
+
+        if "pos" in self.edges.columns:
             placed = self.edges.select("src", "dst", F.col("pos").cast("long").alias("pos"))
         else:
-            placed = self.edges.select("src", "dst", (F.row_number().over(row.orderBy(*order)) - 1).cast("long").alias("pos"))
+            placed = placed_in_group(self.edges.select("src", "dst"), "src", ["dst"])
         return placed.select(F.col("src").alias("id"), F.floor(F.col("pos") / segment).alias("seg"), "pos", F.col("dst").alias("sym"))
 
     def symmetrized(self) -> Graph:

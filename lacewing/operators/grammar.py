@@ -1,39 +1,80 @@
 """Digram substitution: repeated neighbour pairs become rules, in batched rounds.
 
-Each round counts adjacent pairs with one aggregation, accepts the most frequent pairs
-whose symbols are disjoint (they cannot interfere), and replaces all their occurrences
-with one broadcast join. ``batch=1`` takes one pair per round, which is the exact
-greedy grammar up to tie-breaks. Windows run over segments of a row, whose length is
-bounded, so a hub's row is spread over tasks.
+Each round counts adjacent pairs, accepts the most frequent pairs whose symbols are
+disjoint (they cannot interfere), and replaces all their occurrences. ``batch=1`` takes
+one pair per round, which is the exact greedy grammar up to tie-breaks.
+
+Rounds work on segments of adjacency rows as arrays, whose length is bounded, so a hub's
+row is spread over tasks. Replacing is a narrow pass over Arrow batches; what is shuffled
+in a round is counts of pairs, added up per batch before.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lacewing.model import SEGMENT, CompressedGraph, Graph, GraphMeta
-from lacewing.session import settled
+from lacewing.session import drop_path, settled, table_path, written
 
+#: Segments that a pass over a batch looks at together.
+SLICE = 256
 
-def pair_starts(strings: DataFrame) -> DataFrame:
-    """``strings`` with ``nxt`` and ``start``: whether a replaceable pair begins here.
+
+def _starts(symbols: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Where a replaceable pair begins in segments laid end to end, cut at ``cuts``.
 
     A run of one symbol pairs up from its right end, so an odd one stays on the left.
     """
-    row = Window.partitionBy("id", "seg").orderBy("pos")
-    later = row.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    s = strings.withColumns({"nxt": F.lead("sym").over(row), "at": F.row_number().over(row)})
-    ends = F.when(F.col("nxt").isNull() | (F.col("nxt") != F.col("sym")), F.col("at"))
-    s = s.withColumn("left_in_run", F.min(ends).over(later) - F.col("at"))
-    start = F.col("nxt").isNotNull() & ((F.col("nxt") != F.col("sym")) | (F.col("left_in_run") % 2 == 1))
-    return s.select("id", "seg", "pos", "sym", "nxt", start.alias("start"))
+    n = len(symbols)
+    joined = np.ones(n, bool)
+    joined[cuts[1:][cuts[1:] > 0] - 1] = False
+    same = joined.copy()
+    same[:-1] &= symbols[1:] == symbols[:-1]
+    ends = np.flatnonzero(~same)
+    run_end = np.repeat(ends, np.diff(ends, prepend=-1))
+    return joined & (~same | ((run_end - np.arange(n)) % 2 == 1))
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Batches of ``(id, seg, syms)`` in parts, with the symbols of a part and its cuts."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            b = batch.slice(at, SLICE)
+            lengths = b.column(2).value_lengths().to_numpy(zero_copy_only=False)
+            yield b, b.column(2).flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lengths)])
+
+
+def _segments(strings: DataFrame) -> DataFrame:
+    """``(id, seg, syms)`` of strings: a segment is one array, as long as a segment may be."""
+    row = F.sort_array(F.collect_list(F.struct("pos", "sym")))
+    return strings.groupBy("id", "seg").agg(F.transform(row, lambda x: x["sym"]).alias("syms"))
+
+
+def _frequencies(segments: DataFrame) -> DataFrame:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, symbols, cuts in _slices(batches):
+            at = np.flatnonzero(_starts(symbols, cuts))
+            if not len(at):
+                continue
+            left, right = symbols[at], symbols[at + 1]
+            order = np.lexsort((right, left))
+            left, right = left[order], right[order]
+            first = np.flatnonzero(np.concatenate([[True], (left[1:] != left[:-1]) | (right[1:] != right[:-1])]))
+            n = np.diff(first, append=len(left))
+            yield pa.RecordBatch.from_arrays([pa.array(left[first]), pa.array(right[first]), pa.array(n, pa.int64())], names=["left", "right", "freq"])
+
+    pairs = segments.mapInArrow(counted, "left long, right long, freq long")
+    return pairs.groupBy("left", "right").agg(F.sum("freq").alias("freq")).filter("freq >= 2")
 
 
 def pair_frequency(strings: DataFrame) -> DataFrame:
     """``(left, right, freq)`` of the replaceable pairs that occur at least twice."""
-    s = pair_starts(strings).filter("start")
-    return s.groupBy(F.col("sym").alias("left"), F.col("nxt").alias("right")).agg(F.count(F.lit(1)).alias("freq")).filter("freq >= 2")
+    return _frequencies(_segments(strings))
 
 
 def _disjoint(pairs: list, batch: int) -> list:
@@ -47,33 +88,63 @@ def _disjoint(pairs: list, batch: int) -> list:
     return out
 
 
-def _replaced(strings: DataFrame, accepted: DataFrame) -> DataFrame:
-    row = Window.partitionBy("id", "seg").orderBy("pos")
-    s = pair_starts(strings)
-    s = s.join(F.broadcast(accepted), F.col("start") & (s["sym"] == accepted["left"]) & (s["nxt"] == accepted["right"]), "left")
-    s = s.withColumn("gone", F.coalesce(F.lag("rule").over(row).isNotNull(), F.lit(False)))
-    return s.filter(~F.col("gone")).select("id", "seg", "pos", F.coalesce("rule", "sym").alias("sym"))
+def _replaced(segments: DataFrame, new: list[tuple[int, int, int]]) -> DataFrame:
+    """Segments with the pairs of ``new(rule, left, right)`` replaced; a symbol is in one pair at most."""
+    table = np.array(sorted(new, key=lambda r: r[1]), np.int64)
+
+    def replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rule, left, right = table.T
+        for b, symbols, cuts in _slices(batches):
+            which = np.minimum(np.searchsorted(left, symbols), len(left) - 1)
+            hit = _starts(symbols, cuts) & (left[which] == symbols)
+            hit[:-1] &= right[which[:-1]] == symbols[1:]
+            kept = np.ones(len(symbols), bool)
+            kept[1:] = ~hit[:-1]
+            out = np.where(hit, rule[which], symbols)[kept]
+            ends = np.concatenate([[0], np.cumsum(kept)])[cuts]
+            syms = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(out))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), syms], names=["id", "seg", "syms"])
 
+    return segments.mapInArrow(replaced, "id long, seg long, syms array<long>")
 
-def repair(graph: Graph, batch: int = 4096, max_rounds: int = 1000, min_gain: int = -1, segment: int = SEGMENT) -> CompressedGraph:
-    """Compress ``graph``; ``batch`` bounds the pairs per round, and what is broadcast.
+
+def _rounds(segments: DataFrame, choose: Callable[[DataFrame], list[tuple[int, int, int]]], max_rounds: int) -> tuple[DataFrame, str]:
+    """Replace what ``choose`` picks until it picks nothing; a round's table goes after the next one's is written."""
+    spark = segments.sparkSession
+    path = table_path(spark, "segments")
+    segments = written(segments, "segments", path)
+    for _ in range(max_rounds):
+        new = choose(segments)
+        if not new:
+            break
+        last, path = path, table_path(spark, "segments")
+        segments = written(_replaced(segments, new), "segments", path)
+        drop_path(spark, last)
+    return segments, path
+
+
+def repair(graph: Graph, batch: int = 32768, max_rounds: int = 1000, min_gain: int = -1, segment: int = SEGMENT) -> CompressedGraph:
+    """Compress ``graph``; ``batch`` bounds the pairs that a round accepts and tells all tasks.
 
     Stops when no pair occurs twice, when the best pair saves no more than ``min_gain``
     ((freq - 1) - 1), or after ``max_rounds``. The result is lossless in any case.
     """
     spark: SparkSession = graph.spark
-    base = graph.meta.rule_base
-    strings, rules = settled(graph.symbols(segment)), []
-    for _ in range(max_rounds):
-        top = pair_frequency(strings).orderBy(F.desc("freq"), "left", "right").limit(max(batch, 1) * (4 if batch > 1 else 1)).collect()
+    base, rules = graph.meta.rule_base, []
+
+    def choose(segments: DataFrame) -> list[tuple[int, int, int]]:
+        top = _frequencies(segments).orderBy(F.desc("freq"), "left", "right").limit(max(batch, 1) * (4 if batch > 1 else 1)).collect()
         chosen = _disjoint([p for p in top if p["freq"] - 2 > min_gain], batch)
-        if not chosen:
-            break
         new = [(base + len(rules) + k, p["left"], p["right"]) for k, p in enumerate(chosen)]
-        rules += new
-        strings = settled(_replaced(strings, spark.createDataFrame(new, "rule long, left long, right long")))
+        rules.extend(new)
+        return new
+
+    segments, path = _rounds(_segments(graph.symbols(segment)), choose, max_rounds)
     bodies = spark.createDataFrame([(r, 0, k, x) for r, *pair in rules for k, x in enumerate(pair)], "id long, seg long, pos long, sym long")
-    return CompressedGraph(settled(strings.unionByName(bodies)), graph.vertices, graph.edges, GraphMeta(graph.meta.vertex_cnt, len(rules), base))
+    rows = segments.select("id", "seg", F.posexplode("syms").alias("pos", "sym")).withColumn("pos", F.col("pos").cast("long"))
+    strings = settled(rows.unionByName(bodies))
+    drop_path(spark, path)
+    return CompressedGraph(strings, graph.vertices, graph.edges, GraphMeta(graph.meta.vertex_cnt, len(rules), base))
 
 
 def decompress(c: CompressedGraph) -> Graph:
@@ -82,8 +153,12 @@ def decompress(c: CompressedGraph) -> Graph:
     rows = c.strings.filter(~c.is_rule("id"))
     while rows.filter(c.is_rule("sym")).limit(1).count():
         rows = settled(expanded(rows, rules))
-    order = Window.partitionBy("id").orderBy("seg", "pos")
-    edges = rows.select(F.col("id").alias("src"), F.col("sym").alias("dst"), (F.row_number().over(order) - 1).cast("long").alias("pos"))
+    sizes = rows.groupBy("id", "seg").agg(F.count(F.lit(1)).alias("size"))
+    earlier = Window.partitionBy("id").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("id", "seg", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("id", "seg").orderBy("pos")) - 1
+    placed = rows.withColumn("own", own).join(before, ["id", "seg"])
+    edges = placed.select(F.col("id").alias("src"), F.col("sym").alias("dst"), (F.col("own") + F.col("before")).cast("long").alias("pos"))
     return Graph(edges, c.vertices)
 
 

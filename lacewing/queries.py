@@ -47,7 +47,7 @@ def queries() -> dict[str, Query]:
         "in_degree": lambda s, d: hier(s, d).in_degrees(),
         "csr_offsets": lambda s, d: hier(s, d).csr()[0],
         "csr_targets": lambda s, d: hier(s, d).csr()[1],
-        "pair_frequency": lambda s, d: grammar.pair_frequency(sp(s, d).symbols()).filter('"left" != "right"'.replace('"', "`")),
+        "pair_frequency": lambda s, d: grammar.pair_frequency(sp(s, d).symbols()).filter(F.col("left") != F.col("right")),
         "roundtrip_edges": lambda s, d: _ends(grammar.decompress(grammar.repair(sp(s, d)))),
         "roundtrip_filtered": lambda s, d: _ends(grammar.decompress(pruning.filter_rules(grammar.repair(sp(s, d)), 0))),
         "roundtrip_filter_decomp": lambda s, d: _ends(grammar.decompress(pruning.filter_rules_decomposed(grammar.repair(sp(s, d))))),
