@@ -14,7 +14,6 @@ from __future__ import annotations
 import json
 import re
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 
@@ -28,8 +27,6 @@ OTHER = re.compile(f"[^\\x00-\\x7f{LETTERS}‐-‧‰-⁞¡§«°»¿]")
 WORDS = re.compile(f"'(?:[stmd]|re|ve|ll)|[a-z{LETTERS}]+|[0-9]|[^ \\t-\\r0-9a-z{LETTERS}]+")
 #: Longer texts are left to the library, whose patterns need no stack.
 LONGEST = 1_000_000
-#: Words whose ids an encoder remembers, and their most characters; it forgets all of them when it has as many.
-REMEMBERED, SHORT = 1 << 17, 64
 
 
 def byte_symbols() -> dict[str, int]:
@@ -49,21 +46,6 @@ def merged(symbols: list[str], ranks: dict[tuple[str, str], int]) -> list[str]:
     return symbols
 
 
-class WordIds(dict):
-    """Ids by word, encoded when first asked for."""
-
-    def __init__(self, ranked, limit: int = REMEMBERED) -> None:
-        self.ranked, self.limit = ranked, limit
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        ids = tuple(self.ranked.encode(word + "\n", disallowed_special=()))
-        if len(word) <= SHORT:
-            if len(self) >= self.limit:
-                self.clear()
-            self[word] = ids
-        return ids
-
-
 class TextEncoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -76,7 +58,6 @@ class TextEncoder:
         self.suffix = spec["model"]["end_of_word_suffix"] or ""
         self.words = self._kind(spec) == "word"
         self.ranked = self._ranked(spec) if self._kind(spec) else None
-        self.word_ids = WordIds(self.ranked)
 
     @staticmethod
     def _kind(spec: dict) -> str | None:
@@ -123,7 +104,9 @@ class TextEncoder:
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         if self.words:
             found = WORDS.findall(text.lower())
-            return np.fromiter(chain.from_iterable(map(self.word_ids.__getitem__, found)), np.uint32)
+            if not found:
+                return np.empty(0, np.uint32)
+            text = "\n".join(found) + "\n"
         return self.ranked.encode_to_numpy(text, disallowed_special=())
 
 

@@ -28,15 +28,6 @@ def test_ids_are_the_librarys(spark, path):
         assert e.ids(x).tolist() == t.encode(x, add_special_tokens=False).ids, x
 
 
-def test_words_are_forgotten_and_encoded_again():
-    e, t = TextEncoder(WORD), Tokenizer.from_file(WORD)
-    e.word_ids.limit = 3
-    text = "one two three four one five " + "x" * 100 + " two"
-    assert e.ids(text).tolist() == t.encode(text, add_special_tokens=False).ids
-    assert 0 < len(e.word_ids) <= 3
-    assert all(len(w) <= 64 for w in e.word_ids)
-
-
 def huffman_cost(counts):
     import heapq
 
