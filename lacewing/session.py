@@ -105,6 +105,6 @@ def tidy(spark: SparkSession) -> None:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: for loop states, whose partitioning is worth keeping."""
+    """A reliable checkpoint, for loop states. With adaptive execution on, a reader doesn't know its partitioning."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
