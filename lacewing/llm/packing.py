@@ -3,16 +3,15 @@
 Documents are cut into full sequences and one remainder each. Only the histogram of
 remainder lengths (at most ``length`` - 1 numbers) goes to the driver, where a linear
 program over patterns (multisets of lengths that fit a sequence) is solved by column
-generation. Its first columns are best-fit patterns of the histogram, scaled down to a
-bounded number of items. The duals "tokens per sequence" bound its value from below; only
-while it is further off than ``gap`` does a knapsack dynamic program price new patterns
-for the simplex method. Patterns are rounded down, what is left is packed best-fit, and
-patterns are dealt to the documents by their rank within their length.
+generation. Its first basis is made of best-fit patterns of the histogram, scaled down to
+a bounded number of items. A knapsack dynamic program prices new patterns for the simplex
+method, and its duals bound the program from below, until none is worth more than a
+sequence or the bound is met within ``gap``. Patterns are rounded down, what is left is
+packed best-fit, and patterns are dealt to the documents by their rank within their length.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -31,6 +30,12 @@ from lacewing.session import written
 PARTS = 64
 #: Items that best fit takes at a time.
 ITEMS = 20_000
+#: What is added to how often a length is needed, at least, while the program is solved.
+SLACK = 1e-3
+#: Share of the best duals so far in those that columns are priced by.
+SMOOTH = 0.8
+#: Pivots between two inversions from scratch.
+REFRESH = 200
 
 
 def knapsack(lengths: np.ndarray, values: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,41 +64,90 @@ def picked(lengths: np.ndarray, pick: np.ndarray, room: int) -> Counter:
     return out
 
 
-def _first_basis(lengths: np.ndarray, need: np.ndarray, room: int) -> tuple[list[Counter], np.ndarray, np.ndarray]:
-    """A feasible start and the inverse of its matrix.
+class Simplex:
+    """A feasible basis of patterns: ``x`` times the patterns of ``basis`` uses each length as often as ``need`` says.
 
-    Each length is paired with a long one that fits beside it, as often as the rarer of
-    the two; the others, and what is left of the more frequent, stand alone.
+    A pattern costs a sequence. To use the place of a piece for the next shorter one costs nothing and
+    is a column too: it keeps the duals in the order of the lengths, so that few columns have to be
+    priced. It starts from single pieces. ``need`` is raised by a little for each length, so that no
+    basic pattern is used 0 times and each pivot lowers the cost.
     """
-    m = len(lengths)
-    copies = room // lengths
-    basis, x, inverse = [Counter({i: int(c)}) for i, c in enumerate(copies)], need / copies, np.diag(1.0 / copies)
-    open_lengths = set(range(m))
-    for i in range(m - 1, -1, -1):
-        rest = int(np.searchsorted(lengths, room - lengths[i], side="right")) - 1
-        j = next((k for k in range(min(rest, i - 1), max(rest - 8, -1), -1) if k in open_lengths), None)
-        if i not in open_lengths or j is None:
-            continue
-        open_lengths -= {i, j}
-        few, many = (i, j) if need[i] <= need[j] else (j, i)
-        basis[few], x[few] = Counter({i: 1, j: 1}), need[few]
-        x[many] = (need[many] - need[few]) / copies[many]
-        inverse[few, few], inverse[many, few] = 1.0, -1.0 / copies[many]
-    return basis, x, inverse
 
+    def __init__(self, need: np.ndarray) -> None:
+        m = len(need)
+        self.need = need + np.random.default_rng(0).uniform(1, 2, m) * SLACK
+        self.basis, self.cost = [Counter({i: 1}) for i in range(m)], np.ones(m)
+        self.inverse, self.x, self.pivots = np.eye(m), self.need.copy(), 0
+
+    def step(self, pattern: Counter) -> np.ndarray:
+        """By how much the basic patterns fall when ``pattern`` is used once."""
+        return self.inverse[:, list(pattern)] @ np.array(list(pattern.values()), float)
+
+    def duals(self) -> np.ndarray:
+        return self.cost @ self.inverse
+
+    def replace(self, out: int, pattern: Counter, step: np.ndarray, often: float, cost: float = 1.0) -> None:
+        """``pattern``, used ``often``, becomes basic in place of ``out``; the caller has moved the others."""
+        row, rest = self.inverse[out] / step[out], step.copy()
+        rest[out] = 0
+        rows, cols = np.flatnonzero(np.abs(rest) > 1e-12), np.flatnonzero(row)
+        self.inverse[np.ix_(rows, cols)] -= np.outer(rest[rows], row[cols])
+        self.inverse[out], self.basis[out], self.x[out], self.cost[out] = row, pattern, often, cost
+        self.pivots += 1
+
+    def refresh(self) -> None:
+        """The inverse and ``x`` anew from the patterns, without the errors of the updates."""
+        matrix = np.zeros_like(self.inverse)
+        for k, pattern in enumerate(self.basis):
+            matrix[list(pattern), k] = list(pattern.values())
+        self.inverse = np.linalg.inv(matrix)
+        self.x = np.maximum(self.inverse @ self.need, 0)
+
+    def first_used_up(self, fall: np.ndarray) -> tuple[int, float]:
+        """Which basic pattern is used up first as they fall, and when; of equals the one that falls fastest."""
+        ratio = np.full(len(fall), np.inf)
+        np.divide(self.x, fall, out=ratio, where=fall > 1e-7)
+        by = float(ratio.min())
+        ties = np.flatnonzero(ratio <= by + 1e-9)
+        return int(ties[fall[ties].argmax()]), by
+
+    def enter(self, pattern: Counter, cost: float) -> None:
+        """A pivot that brings in ``pattern``."""
+        step = self.step(pattern)
+        out, by = self.first_used_up(step)
+        self.x = np.maximum(self.x - by * step, 0)
+        self.replace(out, pattern, step, by, cost)
+        if self.pivots % REFRESH == 0:
+            self.refresh()
+
+    def start(self, seeds: list[tuple[Counter, int]]) -> None:
+        """From a whole plan to a basis that is no worse: each of its patterns becomes basic or is given up.
+
+        A pattern that is not basic is used more or less, whichever lowers the sum of ``x``, until a
+        basic one is used up and it takes its place, or until it isn't used any more.
+        """
+        for pattern, often in seeds:
+            self.x[list(pattern)] -= np.array(list(pattern.values()), float) * often
+        for pattern, often in seeds:
+            step = self.step(pattern)
+            fall = step if step.sum() > 1 + 1e-9 else -step
+            out, by = self.first_used_up(fall)
+            if fall is not step and by >= often:
+                self.x = np.maximum(self.x + often * step, 0)
+            else:
+                self.x = np.maximum(self.x - by * fall, 0)
+                self.replace(out, pattern, step, often + by if fall is step else often - by)
 
-def cutting_stock(counts: dict[int, int], room: int, gap: float = 5e-3, max_rounds: int = 400) -> list[tuple[dict[int, int], int]]:
+
+def cutting_stock(counts: dict[int, int], room: int, gap: float = 1e-3, max_rounds: int = 400) -> list[tuple[dict[int, int], int]]:
     """Patterns (length -> copies) and how often each is used; together they use ``counts`` exactly.
 
-    Ends with the best-fit columns where they are within ``gap`` of the lower bound; else
-    with the better of them and the linear program after ``max_rounds`` of generation.
+    The linear program starts from the best-fit plan. That plan stands only where the program's,
+    rounded to whole sequences, needs more of them.
     """
     seeds = best_fit_patterns(counts, room)
-    used, least = sum(n for _, n in seeds), sum(k * n for k, n in counts.items()) / room
-    if used <= math.ceil(least * (1 + gap)):
-        return seeds
-    found = column_generation(counts, room, [p for p, _ in seeds], gap, max_rounds)
-    return found if sum(n for _, n in found) < used else seeds
+    found = column_generation(counts, room, seeds, gap, max_rounds)
+    return found if sum(n for _, n in found) <= sum(n for _, n in seeds) else seeds
 
 
 def best_fit_patterns(counts: dict[int, int], room: int, items: int = ITEMS) -> list[tuple[dict[int, int], int]]:
@@ -115,70 +169,91 @@ def best_fit_patterns(counts: dict[int, int], room: int, items: int = ITEMS) ->
     return out
 
 
-def column_generation(counts: dict[int, int], room: int, seeds: list[dict[int, int]], gap: float, max_rounds: int, width: int = 256) -> list[tuple[dict[int, int], int]]:
-    """The linear program by the revised simplex method, rounded down, and best fit for the rest."""
+def column_generation(counts: dict[int, int], room: int, seeds: list[tuple[dict[int, int], int]], gap: float, max_rounds: int, width: int = 256) -> list[tuple[dict[int, int], int]]:
+    """The linear program by the revised simplex method, rounded down, and best fit for the rest.
+
+    ``seeds`` is a plan to start from, or empty. Columns are priced until none is worth more
+    than a sequence or the program is within ``gap`` of the bound that the duals prove, for
+    ``max_rounds`` pivots at most.
+    """
     lengths = np.array(sorted(k for k, n in counts.items() if n > 0), np.int64)
     if not len(lengths):
         return []
     need = np.array([counts[int(k)] for k in lengths], float)
-    m, least = len(lengths), float((lengths * need).sum()) / room
-    basis, x, inverse = _first_basis(lengths, need, room)
-    bound = least
     at = {int(k): i for i, k in enumerate(lengths)}
-    pool = [Counter({at[k]: c for k, c in p.items()}) for p in seeds[: 4 * width]]
-    columns = np.zeros((len(pool), m))
-    for k, pattern in enumerate(pool):
-        for i, c in pattern.items():
-            columns[k, i] = c
-    for _ in range(max_rounds):
-        if x.sum() <= bound * (1 + gap):
+    program = Simplex(need)
+    program.start([(Counter({at[k]: c for k, c in p.items()}), often) for p, often in seeds])
+    # the duals with the best bound so far, at first tokens per sequence
+    center = lengths / room
+    bound, smooth = float(center @ program.need), SMOOTH
+    first = program.pivots
+    while True:
+        own = program.duals()
+        if float(program.cost @ program.x) <= bound * (1 + gap) or program.pivots >= first + max_rounds:
             break
-        price = inverse.sum(axis=0)
-        worth = columns @ price
-        if not len(pool) or worth.max() <= 1 + 1e-7:
-            best, pick = knapsack(lengths, price, room)
-            if best[room] <= 1 + 1e-7:
-                break
-            bound = max(bound, float(price @ need) / float(best[room]))
-            # with each length the best that fits beside it: one table prices many columns
-            gains = price + best[room - lengths]
-            pool = []
-            for i in np.argsort(-gains, kind="stable")[:width].tolist():
-                if gains[i] > 1 + 1e-7:
-                    pattern = picked(lengths, pick, room - int(lengths[i]))
-                    pattern[i] += 1
-                    pool.append(pattern)
-            columns = np.zeros((len(pool), m))
-            for k, pattern in enumerate(pool):
-                for i, c in pattern.items():
-                    columns[k, i] = c
-            worth = columns @ price
-        enter = int(worth.argmax())
-        used = np.flatnonzero(columns[enter])
-        step = inverse[:, used] @ columns[enter, used]
-        ratio = np.full(m, np.inf)
-        np.divide(x, step, out=ratio, where=step > 1e-9)
-        out = int(ratio.argmin())
-        if not np.isfinite(ratio[out]):
+        # duals near the best ones swing less; the program's own are priced where those give no column
+        price = smooth * center + (1 - smooth) * own
+        best, pick = knapsack(lengths, price, room)
+        if (proved := float(price @ program.need) / float(best[room])) > bound:
+            bound, center = proved, price / float(best[room])
+        if not smooth and best[room] <= 1 + 1e-7:
             break
-        row, by = inverse[out] / step[out], ratio[out]
-        step[out] = 0
-        rows, cols = np.flatnonzero(np.abs(step) > 1e-12), np.flatnonzero(row)
-        inverse[np.ix_(rows, cols)] -= np.outer(step[rows], row[cols])
-        inverse[out] = row
-        x = np.maximum(x - by * step, 0)
-        x[out] = by
-        basis[out] = pool[enter]
-    left, found = need.astype(np.int64), []
-    for pattern, often in zip(basis, x, strict=True):
-        often = min([int(often + 1e-9), *(int(left[i] // c) for i, c in pattern.items())])
-        if often > 0:
-            found.append(({int(lengths[i]): c for i, c in pattern.items()}, often))
-            for i, c in pattern.items():
-                left[i] -= often * c
+        # with each length the best that fits beside it: one table prices many columns
+        gains, pool = price + best[room - lengths], []
+        for i in np.argsort(-gains, kind="stable")[:width].tolist():
+            pattern = picked(lengths, pick, room - int(lengths[i]))
+            pattern[i] += 1
+            if sum(own[k] * c for k, c in pattern.items()) > 1 + 1e-7:
+                pool.append(pattern)
+        smooth = SMOOTH if pool else 0.0
+        if not pool:
+            continue
+        columns = np.zeros((len(pool), len(lengths)))
+        for k, pattern in enumerate(pool):
+            columns[k, list(pattern)] = list(pattern.values())
+        while True:
+            own = program.duals()
+            worth = np.concatenate([columns @ own - 1, np.append(0, own[:-1]) - own])
+            if worth.max() <= 1e-7:
+                break
+            if program.pivots >= first + max_rounds:
+                break
+            k = int(worth.argmax())
+            shorter = k - len(pool)
+            program.enter(*((pool[k], 1.0) if shorter < 0 else (Counter({shorter: -1} | ({shorter - 1: 1} if shorter else {})), 0.0)))
+    plan = [(pattern, int(often + 1e-6)) for pattern, often, cost in zip(program.basis, program.x, program.cost, strict=True) if cost]
+    plan, left = within(plan, need.astype(np.int64))
+    found = [({int(lengths[i]): c for i, c in pattern.items()}, often) for pattern, often in plan if pattern]
     return found + best_fit_patterns({int(k): int(n) for k, n in zip(lengths, left, strict=True)}, room)
 
 
+def within(plan: list[tuple[Counter, int]], need: np.ndarray) -> tuple[list[tuple[Counter, int]], np.ndarray]:
+    """``plan`` with places that ``need`` has no piece for given to shorter pieces, or left empty; and the need it leaves."""
+    by: dict[int, list[tuple[Counter, int]]] = {}
+    out, left = [], need.copy()
+    for pattern, often in plan:
+        if often:
+            by.setdefault(max(pattern), []).append((pattern, often))
+    # each entry waits at the longest place that is not settled yet; ``done`` is what is
+    open_ = {i: [(Counter(p), Counter(), n) for p, n in rows] for i, rows in by.items()}
+    for i in range(len(need) - 1, -1, -1):
+        for rest, done, often in sorted(open_.pop(i, []), key=lambda e: (-e[2], sorted(e[1].items()), sorted(e[0].items()))):
+            copies = rest.pop(i)
+            full = min(often, int(left[i]) // copies)
+            some = int(left[i] - full * copies) if full < often else 0
+            for n, kept in ((full, copies), (1 if some else 0, some), (often - full - (1 if some else 0), 0)):
+                if n:
+                    left[i] -= n * kept
+                    own, more = done + Counter({i: kept}), rest.copy()
+                    if i and kept < copies:
+                        more[i - 1] += copies - kept
+                    if more:
+                        open_.setdefault(max(more), []).append((more, own, n))
+                    else:
+                        out.append((own, n))
+    return out, left
+
+
 def pieces(docs: DataFrame, tokenizer: str, end: int, length: int) -> DataFrame:
     """``(row, doc_id, start, length, ids_crc32, doc_tokens, full)``: documents cut at multiples of ``length``."""
     tail = np.array([end], np.uint32)

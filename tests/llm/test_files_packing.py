@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 from lacewing.llm.encode import TextEncoder
 from lacewing.llm.huffman import SEGMENT, Code, code_lengths
-from lacewing.llm.packing import column_generation, cutting_stock, knapsack, pack_documents, picked
+from lacewing.llm.packing import best_fit_patterns, column_generation, cutting_stock, knapsack, pack_documents, picked
 from lacewing.llm.token_files import read_token_files, write_token_files
 
 WORD, BYTE = (public_tokenizers.path(x) for x in ("word_bpe_49k.json", "byte_bpe_50k.json"))
@@ -135,6 +135,20 @@ def test_column_generation_solves_what_best_fit_does_not():
     assert sum(n for _, n in plan) <= 1.005 * sum(k * n for k, n in counts.items()) / 60 + 5
 
 
+def test_the_program_is_solved_where_best_fit_is_near_its_bound():
+    # best fit is within 0.5 % here
+    rng = random.Random(1)
+    counts = Counter(min(255, int(rng.lognormvariate(4.3, 0.6)) + 1) for _ in range(60_000))
+    least, fit = sum(k * n for k, n in counts.items()) / 256, sum(n for _, n in best_fit_patterns(counts, 256))
+    assert fit <= 1.005 * least
+    plan, used = cutting_stock(counts, 256), Counter()
+    for pattern, often in plan:
+        assert sum(k * c for k, c in pattern.items()) <= 256
+        used += Counter({k: c * often for k, c in pattern.items()})
+    assert used == counts
+    assert sum(n for _, n in plan) <= 1.0015 * least < fit
+
+
 def test_pieces_cover_documents_and_sequences(spark):
     rows, t = documents(5, 500), Tokenizer.from_file(BYTE)
     df = spark.createDataFrame([(*r, 7, 8) for r in rows], SCHEMA)
