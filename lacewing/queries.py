@@ -62,6 +62,12 @@ def queries() -> dict[str, Query]:
         "cc_directed": lambda s, d: traversal.cc_directed(comp(s, d)),
         "cc_directed_compressed": lambda s, d: traversal.cc_directed(ccomp(s, d)),
         "wcc": lambda s, d: traversal.wcc(comp(s, d)),
+        "cc_directed_events": lambda s, d: traversal.cc_directed(ev(s, d)),
+        "cc_directed_hierarchy": lambda s, d: traversal.cc_directed(hier(s, d)),
+        "cc_directed_compressed_events": lambda s, d: traversal.cc_directed(cev(s, d)),
+        "cc_directed_compressed_hierarchy": lambda s, d: traversal.cc_directed(chier(s, d)),
+        "wcc_events": lambda s, d: traversal.wcc(ev(s, d)),
+        "wcc_hierarchy": lambda s, d: traversal.wcc(hier(s, d)),
         "topo_levels": lambda s, d: traversal.topo_levels(hier(s, d)),
         "topo_levels_compressed": lambda s, d: traversal.topo_levels(chier(s, d)),
         "pagerank_10": lambda s, d: _ranks(ranking.pagerank(ev(s, d), eps=None)),
@@ -163,6 +169,10 @@ def oracle_sql() -> dict[str, str]:
         "sssp_weighted": _walk(_HIER, "(e.dst % 7 + 1)::DOUBLE").replace("0::BIGINT AS d", "0::DOUBLE AS d") + " SELECT v.id, min(w.d) AS dist FROM v LEFT JOIN w ON w.id = v.id GROUP BY v.id",
         **dict.fromkeys(("cc_directed", "cc_directed_compressed"), _label(_COMP)),
         "wcc": _label(both),
+        # none for wcc_hierarchy: pairs of a vertex and a label grow with the square of the component
+        **dict.fromkeys(("cc_directed_events", "cc_directed_compressed_events"), _label(_EV)),
+        **dict.fromkeys(("cc_directed_hierarchy", "cc_directed_compressed_hierarchy"), _label(_HIER)),
+        "wcc_events": _label(f"SELECT src, dst FROM ({_EV}) UNION SELECT dst, src FROM ({_EV})"),
         **dict.fromkeys(("topo_levels", "topo_levels_compressed"), topo),
         **dict.fromkeys(("pagerank_10", "pagerank_compressed_10"), _pagerank(_EV, 10)),
         "pagerank_bipartite_10": _pagerank(_CS, 10),
