@@ -139,7 +139,7 @@ class Simplex:
                 self.replace(out, pattern, step, often + by if fall is step else often - by)
 
 
-def cutting_stock(counts: dict[int, int], room: int, gap: float = 1e-3, max_rounds: int = 400) -> list[tuple[dict[int, int], int]]:
+def cutting_stock(counts: dict[int, int], room: int, gap: float = 1e-3, max_rounds: int = 200_000) -> list[tuple[dict[int, int], int]]:
     """Patterns (length -> copies) and how often each is used; together they use ``counts`` exactly.
 
     The linear program starts from the best-fit plan. That plan stands only where the program's,
@@ -173,8 +173,8 @@ def column_generation(counts: dict[int, int], room: int, seeds: list[tuple[dict[
     """The linear program by the revised simplex method, rounded down, and best fit for the rest.
 
     ``seeds`` is a plan to start from, or empty. Columns are priced until none is worth more
-    than a sequence or the program is within ``gap`` of the bound that the duals prove, for
-    ``max_rounds`` pivots at most.
+    than a sequence or the program is within ``gap`` of the bound that the duals prove; it is
+    an error if ``max_rounds`` pivots don't suffice.
     """
     lengths = np.array(sorted(k for k, n in counts.items() if n > 0), np.int64)
     if not len(lengths):
@@ -186,10 +186,9 @@ def column_generation(counts: dict[int, int], room: int, seeds: list[tuple[dict[
     # the duals with the best bound so far, at first tokens per sequence
     center = lengths / room
     bound, smooth = float(center @ program.need), SMOOTH
-    first = program.pivots
     while True:
         own = program.duals()
-        if float(program.cost @ program.x) <= bound * (1 + gap) or program.pivots >= first + max_rounds:
+        if float(program.cost @ program.x) <= bound * (1 + gap):
             break
         # duals near the best ones swing less; the program's own are priced where those give no column
         price = smooth * center + (1 - smooth) * own
@@ -216,8 +215,8 @@ def column_generation(counts: dict[int, int], room: int, seeds: list[tuple[dict[
             worth = np.concatenate([columns @ own - 1, np.append(0, own[:-1]) - own])
             if worth.max() <= 1e-7:
                 break
-            if program.pivots >= first + max_rounds:
-                break
+            if program.pivots >= max_rounds:
+                raise RuntimeError(f"packing: {max_rounds} pivots leave the linear program at {program.cost @ program.x:.1f} sequences, bound {bound:.1f}")
             k = int(worth.argmax())
             shorter = k - len(pool)
             program.enter(*((pool[k], 1.0) if shorter < 0 else (Counter({shorter: -1} | ({shorter - 1: 1} if shorter else {})), 0.0)))
