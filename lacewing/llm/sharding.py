@@ -4,12 +4,18 @@ Equal texts are one group. A group with more than 1/bundles of all bytes is an i
 itself; the others are tied by the hash of their text into at most ``bundles`` items.
 So the driver packs at most 2 * ``bundles`` items whatever the corpus holds, and the
 two tables that it broadcasts have at most ``bundles`` rows each.
+
+With a fixed capacity, groups are dealt by hash to ranges of some ``RANGE`` shards, which
+are packed apart from each other by the executors: again by bundles of about 1/64 of a
+shard, and larger groups by themselves. A bundle that outgrows 1/8 of a shard is taken
+apart. The driver gets the number of shards of each range.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +23,8 @@ from lacewing.session import written
 
 #: Bound on the items of either kind.
 BUNDLES = 8192
+#: Shards of a range that is packed by itself, about.
+RANGE = 128
 #: Rows of one shard are numbered in so many independent parts.
 PARTS = 256
 
@@ -141,12 +149,47 @@ def equal_bins(sizes: list[int], bins: int, rounds: int = 10) -> list[int]:
     return best
 
 
+def packed_ranges(groups: DataFrame, total: int, capacity: int, bundles: int) -> DataFrame:
+    """``(key, shard)`` for ``groups(key, total)``, with no shard over ``capacity`` but for a group that is.
+
+    A range has at most 64 * ``RANGE`` groups over 1/64 of a shard, ``bundles`` bundles, and 8 * ``RANGE``
+    bundles taken apart, about; it leaves one shard partly filled.
+    """
+    spark, ranges = groups.sparkSession, -(-total // (RANGE * capacity))
+    spread = F.xxhash64("key", F.lit("range"))
+    item = groups.withColumn("range", F.pmod(spread, F.lit(ranges)).cast("long")).withColumn("bundle", F.pmod("key", F.lit(bundles)).cast("long"))
+    alone = F.col("total") > capacity // 64
+    light = item.filter(~alone)
+    tied = light.groupBy("range", "bundle").agg(F.sum("total").alias("total"))
+    large = F.col("total") > capacity // 8
+    loose = light.join(tied.filter(large).select("range", "bundle"), ["range", "bundle"], "left_semi")
+    none = F.lit(None).cast("long")
+    items = item.filter(alone).select("range", "key", none.alias("bundle"), "total")
+    items = items.unionByName(loose.select("range", "key", none.alias("bundle"), "total")).unionByName(tied.filter(~large).select("range", none.alias("key"), "bundle", "total"))
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.select(["range", "key", "bundle", "total"]).sort_by([("key", "ascending"), ("bundle", "ascending")])
+        bins = best_fit_decreasing(table["total"].to_pylist(), capacity)
+        return table.select(["range", "key", "bundle"]).append_column("bin", pa.array(bins, pa.int64()))
+
+    bins = written(items.groupBy("range").applyInArrow(pack, "range long, key long, bundle long, bin long"), "bins")
+    before, first = 0, []
+    for r in bins.groupBy("range").agg(F.max("bin").alias("last")).orderBy("range").collect():
+        first.append((r["range"], before))
+        before += r["last"] + 1
+    offsets = spark.createDataFrame(first, "range long, first long")
+    bins = bins.join(F.broadcast(offsets), "range").withColumn("shard", (F.col("first") + F.col("bin")).cast("int"))
+    by_key, by_bundle = bins.filter("key IS NOT NULL").select("key", F.col("shard").alias("own")), bins.filter("key IS NULL").select("range", "bundle", F.col("shard").alias("tied"))
+    return item.join(by_key, "key", "left").join(by_bundle, ["range", "bundle"], "left").select("key", F.coalesce("own", "tied").alias("shard"))
+
+
 def shard_documents(docs: DataFrame, shards: int | None = 16, capacity: int | None = None, bundles: int = BUNDLES, parts: int = PARTS) -> DataFrame:
     """``(doc_id, size, text_crc32, shard, slot)``: ``shards`` near equal ones, or as few as hold ``capacity`` bytes each.
 
     A row's size is its text's bytes plus 1; equal texts share a shard, null counts as
     empty. ``slot`` numbers the rows of a shard from 0 by part, then ``doc_id`` (nulls
     first). Repeated rows are kept each. A group larger than a shard fills one alone.
+    "As few" is by best fit within ranges of about ``RANGE`` shards.
     Other columns are ignored; an empty table gives no rows.
     """
     text = F.coalesce("text", F.lit(""))
@@ -157,18 +200,26 @@ def shard_documents(docs: DataFrame, shards: int | None = 16, capacity: int | No
     rows = written(rows, "sizes")
     groups = written(rows.groupBy("key").agg(F.sum("size").alias("total")), "groups")
     total = groups.agg(F.sum("total")).first()[0] or 0
+    if capacity and total:
+        placed = rows.join(packed_ranges(groups, total, capacity, bundles), "key")
+    else:
+        placed = _near_equal(rows, groups, total, shards, bundles)
+    placed = placed.select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part"))
+    return numbered(placed, "shard", "part", ["doc_id", "size", "text_crc32"], "slot").drop("part")
+
+
+def _near_equal(rows: DataFrame, groups: DataFrame, total: int, shards: int | None, bundles: int) -> DataFrame:
+    """``rows`` with their ``shard`` of ``shards`` near equal ones."""
     least = total // bundles
     heavy = groups.filter(F.col("total") > least).collect()  # at most `bundles` rows
     bundle = F.pmod("key", F.lit(bundles)).cast("int")
     light = groups.filter(F.col("total") <= least).groupBy(bundle.alias("bundle")).agg(F.sum("total").alias("total")).collect()
     sizes = [r["total"] for r in (*heavy, *light)]
-    bins = best_fit_decreasing(sizes, capacity) if capacity else equal_bins(sizes, shards)
-    spark = docs.sparkSession
+    bins = equal_bins(sizes, shards)
+    spark = rows.sparkSession
     by_key = spark.createDataFrame([(r["key"], b) for r, b in zip(heavy, bins, strict=False)], "key long, own int")
     by_bundle = spark.createDataFrame([(r["bundle"], b) for r, b in zip(light, bins[len(heavy) :], strict=True)], "bundle int, tied int")
-    placed = rows.join(F.broadcast(by_key), "key", "left").withColumn("bundle", bundle).join(F.broadcast(by_bundle), "bundle", "left")
-    placed = placed.select("doc_id", "size", "text_crc32", F.coalesce("own", "tied").alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int").alias("part"))
-    return numbered(placed, "shard", "part", ["doc_id", "size", "text_crc32"], "slot").drop("part")
+    return rows.join(F.broadcast(by_key), "key", "left").withColumn("bundle", bundle).join(F.broadcast(by_bundle), "bundle", "left").withColumn("shard", F.coalesce("own", "tied"))
 
 
 def numbered(rows: DataFrame, key: str, part: str, order: list[str], name: str) -> DataFrame:

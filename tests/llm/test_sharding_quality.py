@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from lacewing.llm.quality import host_verdicts, keep_good_documents, quality_rules
 from lacewing.llm.sharding import BestFitTree, best_fit_decreasing, equal_bins, shard_documents
@@ -83,6 +84,20 @@ def test_fixed_capacity_and_empty(spark):
     assert shard_documents(df.limit(0)).count() == 0
 
 
+def test_capacity_holds_where_bundles_would_not_fit(spark):
+    # 40,000 groups of 101 bytes in 16 bundles: a bundle is far over the capacity
+    df = spark.range(40_000).select(F.col("id").alias("doc_id"), F.lpad(F.col("id").cast("string"), 100, "x").alias("text"))
+    for capacity in (2020, 10_100):
+        filled = Counter()
+        rows = shard_documents(df, capacity=capacity, bundles=16).collect()
+        for r in rows:
+            filled[r["shard"]] += r["size"]
+        assert len(rows) == 40_000
+        assert max(filled.values()) <= capacity
+        assert sorted(filled) == list(range(len(filled)))
+        assert len(filled) <= 1.03 * 40_000 * 101 / capacity
+
+
 def brute_rules(text):
     words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", text or "") if w]
     lines = [x for x in (text or "").split("\n") if x.strip(" \t\n\v\f\r")]
