@@ -1,9 +1,9 @@
 """Exact duplicates by a persistent digest index.
 
 DataFrame functions only. The index is a table bucketed and sorted by digest, one row
-per different text ever seen. A batch is aggregated to one row per digest (copies
-combine before the shuffle), anti-joined to the index by a sort-merge join, and what is
-new is appended. Verdicts go back to the rows by a join on the digest in which digests
+per different text and batch that had it. A batch is aggregated to one row per digest (copies
+combine before the shuffle), anti-joined to the index by a sort-merge join, and its
+counts are appended, of new digests and of known ones; reading adds them up. Verdicts go back to the rows by a join on the digest in which digests
 with many copies are broadcast, so that no task gets a whole group of copies.
 """
 
@@ -41,16 +41,17 @@ class DigestIndex:
         spark.sql(f"CREATE TABLE {self.name} (digest STRING, keep_id BIGINT, copies BIGINT) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{self.path}'")
 
     def table(self) -> DataFrame:
+        """A row per different text, with its copies in all batches; bucketed, so nothing is shuffled."""
         self.spark.catalog.refreshTable(self.name)
-        return self.spark.table(self.name)
+        return self.spark.table(self.name).groupBy("digest").agg(F.max("keep_id").alias("keep_id"), F.sum("copies").alias("copies"))
 
     def add(self, docs: DataFrame) -> DataFrame:
-        """Verdicts for ``docs(doc_id, text)``, whose new digests join the index.
+        """Verdicts for ``docs(doc_id, text)``, whose digests and their counts join the index.
 
         ``(doc_id, keep_id, group_size, kept, text_sha256)`` and, if ``docs`` has it,
         ``__row``. Of equal texts the one in the index stays, else the row with the least
         ``doc_id`` (nulls last, then any one of equal rows). ``group_size`` counts the
-        index's copies too. Null text counts as empty; other columns are ignored; an
+        copies of all batches so far. Null text counts as empty; other columns are ignored; an
         empty table gives no rows.
         """
         own = [ROW] if ROW in docs.columns else []
@@ -63,7 +64,7 @@ class DigestIndex:
         fresh = groups.hint("merge").join(old, "digest", "left_anti").select("digest", F.col("first.doc_id").alias("keep_id"), F.col(f"first.{ROW}").alias("keep_row"), F.col("n").alias("size"), "n")
         known = groups.hint("merge").join(old, "digest").select("digest", "keep_id", F.lit(None).cast("long").alias("keep_row"), (F.col("n") + F.col("copies")).alias("size"), "n")
         verdicts = written(fresh.unionByName(known), "verdicts")
-        added = verdicts.filter("keep_row IS NOT NULL").select("digest", "keep_id", F.col("size").alias("copies"))
+        added = verdicts.select("digest", "keep_id", F.col("n").alias("copies"))
         added.repartition("digest").sortWithinPartitions("digest").write.insertInto(self.name)
         heavy = F.col("n") > F.lit(max(total // HEAVY, 1))
         result = lambda x: x.select("doc_id", "keep_id", F.col("size").alias("group_size"), F.coalesce(F.col(ROW) == F.col("keep_row"), F.lit(False)).alias("kept"), F.col("digest").alias("text_sha256"), *own)

@@ -60,6 +60,15 @@ def test_index_goes_on_between_batches_and_sessions(spark, tmp_path):
     assert {r["keep_id"] for r in again.table().collect()} == {5, 6, 2}
 
 
+def test_index_counts_the_copies_of_all_batches(spark):
+    index = DigestIndex(spark, buckets=4)
+    batches = [[(5, "a"), (None, "n")], [(1, "a"), (2, "a"), (3, "c")], [(4, "a"), (6, "c"), (7, "n")], [(8, "a"), (9, "n")]]
+    got = [{r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in index.add(table(spark, b)).collect()} for b in batches]
+    assert got[2] == {4: (5, 4, False), 6: (3, 2, False), 7: (None, 2, False)}
+    assert got[3] == {8: (5, 5, False), 9: (None, 3, False)}
+    assert sorted((r["keep_id"] or 0, r["copies"]) for r in index.table().collect()) == [(0, 3), (3, 2), (5, 5)]
+
+
 def brute_components(edges, nodes):
     root = {n: n for n in nodes}
 
