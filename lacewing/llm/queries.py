@@ -100,14 +100,19 @@ g AS (SELECT doc_id, i, w[i:i + 4] AS win FROM (SELECT doc_id, w, unnest(range(1
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS c FROM g) WHERE c > 1),
 k AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, range(5) x(k) GROUP BY doc_id),
 f AS (SELECT w.doc_id, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
-  len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+  len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN k ON k.doc_id = w.doc_id),
-b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f),
-h AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS bad, sum(base_failed::INT) / count(*) AS rate FROM b GROUP BY source),
-p AS (SELECT avg(rate) AS m, CASE WHEN var_samp(rate) > 0 THEN greatest(avg(rate) * (1 - avg(rate)) / var_samp(rate) - 1, 1) ELSE 1 END AS s FROM h),
-v AS (SELECT source, (bad + m * s) / (n + s) > 0.8 AS rejected FROM h, p)"""
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, 10 * n_symbols > n_words AS many_symbols,
+  10 * n_dup_lines > 3 * n_lines AS many_repeated_lines, word_chars < 3 * n_words OR word_chars > 10 * n_words AS odd_words FROM f),
+u AS (SELECT source, unnest(['base_failed', 'many_symbols', 'many_repeated_lines', 'odd_words']) AS rule, unnest([base_failed, many_symbols, many_repeated_lines, odd_words])::INT AS broken FROM b),
+h AS (SELECT source, rule, count(*) AS n, sum(broken) AS bad, sum(broken) / count(*) AS rate FROM u GROUP BY source, rule),
+p AS (SELECT rule, avg(rate) AS m, CASE WHEN var_samp(rate) > 0 THEN greatest(avg(rate) * (1 - avg(rate)) / var_samp(rate) - 1, 1) ELSE 1 END AS s FROM h GROUP BY rule),
+q AS (SELECT source, rule, m, n + s + 1 AS n, (bad + m * s) / (n + s) AS rate FROM h JOIN p USING (rule)),
+v AS (SELECT source, bool_or(rate - sqrt(rate * (1 - rate) / n) > 0.5) AS rejected, list(rule) FILTER (WHERE rate + sqrt(rate * (1 - rate) / n) < m) AS trusted FROM q GROUP BY source)"""
 _QUALITY_VERDICTS = _QUALITY + """
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept
+SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed, many_symbols, many_repeated_lines, odd_words,
+  NOT (base_failed OR rejected OR (many_symbols AND NOT coalesce(list_contains(trusted, 'many_symbols'), false))
+    OR (many_repeated_lines AND NOT coalesce(list_contains(trusted, 'many_repeated_lines'), false)) OR (odd_words AND NOT coalesce(list_contains(trusted, 'odd_words'), false))) AS kept
 FROM b JOIN v ON v.source IS NOT DISTINCT FROM b.source"""
 
 _MIXING = r"""

@@ -1,11 +1,11 @@
 import random
-from collections import Counter, defaultdict
+from collections import Counter
 
 import corpus_pipeline
 import public_tokenizers
 from test_duplicates import brute_near, squeeze
 from test_mixing import poisson, uniform
-from test_sharding_quality import brute_rules
+from test_sharding_quality import brute_kept
 from tokenizers import Tokenizer
 
 from lacewing.llm.packing import pack_documents
@@ -14,16 +14,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def brute_quality(rows):
-    bad = {i: brute_rules(r[1])[5] for i, r in enumerate(rows)}
-    hosts = defaultdict(list)
-    for i, r in enumerate(rows):
-        hosts[r[3]].append(bad[i])
-    rates = [sum(x) / len(x) for x in hosts.values()]
-    m = sum(rates) / len(rates)
-    v = sum((x - m) ** 2 for x in rates) / (len(rates) - 1) if len(rates) > 1 else 0
-    s = max(m * (1 - m) / v - 1, 1) if v > 0 else 1
-    out = {h: (sum(x) + m * s) / (len(x) + s) > 0.8 for h, x in hosts.items()}
-    return [r for i, r in enumerate(rows) if not bad[i] and not out[r[3]]]
+    return [r for r, kept in zip(rows, brute_kept([(r[1], r[3]) for r in rows]), strict=True) if kept]
 
 
 def brute(rows):

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -105,8 +106,29 @@ def brute_rules(text):
     for i in range(len(words) - 4):
         windows[tuple(words[i : i + 5])].append(i)
     covered = {i + k for at in windows.values() if len(at) > 1 for i in at for k in range(5)}
-    n = len(words)
-    return n, sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered), n < 10 or 100 * len(covered) > 20 * n
+    n, chars, symbols, again = len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines))
+    broken = (n < 10 or 100 * len(covered) > 20 * n, 10 * symbols > n, 10 * again > 3 * len(lines), chars < 3 * n or chars > 10 * n)
+    return n, chars, symbols, len(lines), again, len(covered), *broken
+
+
+def brute_kept(rows):
+    """Verdicts on (text, host) pairs."""
+    broken = [brute_rules(t)[6:] for t, _ in rows]
+    n, failed = Counter(h for _, h in rows), [Counter(h for b, (_, h) in zip(broken, rows, strict=True) if b[k]) for k in range(4)]
+    rejected, trusted = set(), [set() for _ in range(4)]
+    for k in range(4):
+        rates = [failed[k][h] / n[h] for h in n]
+        m = sum(rates) / len(rates)
+        v = sum((x - m) ** 2 for x in rates) / (len(rates) - 1) if len(rates) > 1 else 0
+        s = max(m * (1 - m) / v - 1, 1) if v > 0 else 1
+        for h in n:
+            p = (failed[k][h] + m * s) / (n[h] + s)
+            spread = math.sqrt(p * (1 - p) / (n[h] + s + 1))
+            if p - spread > 0.5:
+                rejected.add(h)
+            if p + spread < m:
+                trusted[k].add(h)
+    return [not b[0] and h not in rejected and not any(b[k] and h not in trusted[k] for k in (1, 2, 3)) for b, (_, h) in zip(broken, rows, strict=True)]
 
 
 def test_rules_match_brute_force(spark):
@@ -116,28 +138,52 @@ def test_rules_match_brute_force(spark):
     texts += ["\n".join(rng.choice(["one two three four five", "six seven", "", " "]) for _ in range(12)) for _ in range(50)] + [" ".join(f"w{i}" for i in range(20_000)) + " w1 w2 w3 w4 w5 w6"]
     df = spark.createDataFrame([(i, t, f"h{i % 3}", 0, "x") for i, t in enumerate(texts)], SCHEMA)
     for r in quality_rules(df).collect():
-        assert tuple(r)[2:8] == brute_rules(texts[r["doc_id"]]), texts[r["doc_id"]]
+        assert tuple(r)[2:12] == brute_rules(texts[r["doc_id"]]), texts[r["doc_id"]]
+
+
+def hosted():
+    """Pages of clean, spam, careful and careless hosts, and small ones."""
+    good = lambda i: " ".join(f"wd{i}x{k}" for k in range(30))
+    marked = lambda i: good(i).replace("x", "#x")
+    rows = [(i, good(i) if i % 20 else "short", "clean", 0, "") for i in range(400)] + [(1000 + i, "short" if i % 50 else good(i), "spam", 0, "") for i in range(300)]
+    rows += [(2000 + i, good(i), f"small{i}", 0, "") for i in range(20)] + [(3000, "short", "tiny", 0, ""), (3001, good(1), None, 0, ""), (3001, good(1), None, 0, ""), (3002, None, None, 0, "")]
+    rows += [(4000 + i, marked(i) if i % 5 else good(i), "careless", 0, "") for i in range(100)]
+    rows += [(5000 + i, marked(i) if i % 2 else good(i), "mixed", 0, "") for i in range(100)]
+    return rows + [(6000 + i, good(i) if i % 200 else marked(i), "careful", 0, "") for i in range(600)]
 
 
 @pytest.mark.parametrize("broadcast_hosts", [100, 0])
 def test_hosts_are_judged_by_shrunk_rates(spark, broadcast_hosts):
-    good, bad = " ".join(f"w{i}" for i in range(30)), "short"
-    rows = [(i, good if i % 20 else bad, "clean", 0, "") for i in range(400)] + [(1000 + i, bad if i % 50 else good, "spam", 0, "") for i in range(300)]
-    rows += [(2000 + i, good, f"small{i}", 0, "") for i in range(20)] + [(3000, bad, "tiny", 0, ""), (3001, good, None, 0, ""), (3001, good, None, 0, "")]
+    rows = hosted()
     df = spark.createDataFrame(rows, SCHEMA)
     out = quality_rules(df, broadcast_hosts=broadcast_hosts)
-    kept = Counter((r["source"], r["kept"]) for r in out.collect())
+    got = out.collect()
+    kept = Counter((r["source"], r["kept"]) for r in got)
     assert kept["clean", True] == 380
     assert kept["spam", True] == 0
     assert kept["spam", False] == 300
+    assert kept["careless", True] == 0  # its clean pages go with it
+    assert kept["mixed", True] == 50
+    assert kept["careful", True] == 600  # its marked pages have the benefit of the doubt
     assert kept[None, True] == 2
     assert sum(kept.values()) == len(rows)
+    assert any(r["kept"] == r["base_failed"] for r in got)
+    want = Counter((r[0], r[2], k) for r, k in zip(rows, brute_kept([r[1:3] for r in rows]), strict=True))
+    assert Counter((r["doc_id"], r["source"], r["kept"]) for r in got) == want
     stay = keep_good_documents(df, broadcast_hosts=broadcast_hosts)
     assert stay.columns == df.columns
-    verdicts = {(r["doc_id"], r["source"]): r["kept"] for r in out.collect()}
-    assert Counter(map(tuple, stay.collect())) == Counter(r for r in rows if verdicts[r[0], r[2]])
-    rates = {r["source"]: r["rate"] for r in host_verdicts(out).collect()}
+    assert Counter(map(tuple, stay.collect())) == Counter(r for r, k in zip(rows, brute_kept([r[1:3] for r in rows]), strict=True) if k)
+    rates = {r["source"]: r["rate_base_failed"] for r in host_verdicts(out).collect()}
     assert rates["small1"] > 0
     assert rates["tiny"] < 1
     assert quality_rules(df.limit(0)).count() == 0
     assert keep_good_documents(df.limit(0)).count() == 0
+
+
+def test_rules_of_tables_with_clashing_columns(spark):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(30)), "h", i, "x", "y") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_words long, __row string, __host string")
+    assert quality_rules(df).filter("kept").count() == 5
+    stay = keep_good_documents(df)
+    assert stay.columns == df.columns
+    assert sorted(map(tuple, stay.collect())) == rows
