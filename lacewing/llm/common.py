@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but these, as a pattern and as plain characters. Fixed values.
@@ -26,3 +26,11 @@ def words(text: Column) -> Column:
 def squeezed(text: Column) -> Column:
     """Text with each run of white space replaced by one space; null counts as empty."""
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, " ")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of ``df`` is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -69,6 +69,51 @@ def test_index_counts_the_copies_of_all_batches(spark):
     assert sorted((r["keep_id"] or 0, r["copies"]) for r in index.table().collect()) == [(0, 3), (3, 2), (5, 5)]
 
 
+def test_index_refuses_other_buckets_and_finds_its_own(spark, tmp_path):
+    path = str(tmp_path / "index")
+    docs = table(spark, [(i, f"t{i}") for i in range(50)])
+    first = DigestIndex(spark, path, buckets=4)
+    first.add(docs).count()
+    first.close()
+    with pytest.raises(ValueError, match="4 buckets, not 8"):
+        DigestIndex(spark, path, buckets=8)
+    again = DigestIndex(spark, path)
+    assert again.buckets == 4
+    assert again.add(docs).filter("kept").count() == 0
+    again.close()
+    spark.createDataFrame([(1,)], "a int").write.parquet(str(tmp_path / "other"))
+    with pytest.raises(ValueError, match="not an index"):
+        DigestIndex(spark, str(tmp_path / "other"))
+
+
+def test_a_batch_given_again_has_the_same_verdicts(spark, tmp_path):
+    index = DigestIndex(spark, str(tmp_path / "index"), buckets=4)
+    index.add(table(spark, [(5, "a"), (6, "b")]), batch="one")
+    rows = table(spark, [(1, "a"), (2, "c"), (3, "c")])
+    verdicts = lambda: sorted(map(tuple, index.add(rows, batch="two").collect()))
+    first = verdicts()
+    assert verdicts() == first  # as after a lost driver
+    assert [r[:4] for r in first] == [(1, 5, 2, False), (2, 2, 2, True), (3, 2, 2, False)]
+    assert sorted((r["keep_id"], r["copies"]) for r in index.table().collect()) == [(2, 2), (5, 2), (6, 1)]
+    index.close()
+
+
+def test_nothing_is_left_in_the_catalog(spark):
+    before = {t.name for t in spark.catalog.listTables()}
+    exact_duplicates(table(spark, [(1, "a")])).count()
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+@pytest.mark.parametrize("broadcast_rows", [1000, 0])
+def test_clashing_columns_stay(spark, broadcast_rows):
+    rows = [(1, "a", 7, "r", "s"), (2, "a", 7, "r", "s"), (3, "b", 7, "r", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __row long, row string, copies string")
+    assert {(r["doc_id"], r["kept"]) for r in exact_duplicates(df).collect()} == {(1, True), (2, False), (3, True)}
+    kept = drop_exact_duplicates(df, broadcast_rows=broadcast_rows)
+    assert kept.columns == df.columns
+    assert sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
+
+
 def brute_components(edges, nodes):
     root = {n: n for n in nodes}
 
