@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacewing.functions import indexed
-from lacewing.llm.common import let
+from lacewing.llm.common import free_name, let
 from lacewing.session import written
 
 #: Sources whose rates are broadcast; more are joined by a shuffle.
@@ -65,20 +65,22 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temper
 
     Rows are dealt to partitions and sorted by ``shuffle_key``. A null source is a source
     of its own; null text counts as empty. Rows with equal ids (or null ones) draw the
-    same count, but each is repeated. An empty table gives no rows. Columns of ``docs``
-    that are named like the new ones are replaced.
+    same count, but each is repeated. Very long texts are read whole, for their size only.
+    An empty table gives no rows. Columns of ``docs`` that are named like the new ones are
+    replaced; others keep their values, whatever they are called.
     """
     docs = docs.drop("copy", "copies", "shuffle_key")
+    of, among, cdf = (free_name(docs, x) for x in ("__source", "__parts", "__cdf"))
     rates = source_rates(docs, weights, temperature, total, source)
     parts = F.greatest(F.ceil(F.col("rate") / LARGEST_MEAN), F.lit(1)).cast("int")
-    rates = rates.filter("rate > 0").select(F.col(source).alias("__source"), parts.alias("__parts"), (F.col("rate") / parts).alias("__mean"))
-    rates = written(rates.withColumn("__cdf", poisson_table(F.col("__mean"))).drop("__mean"), "rates")
+    rates = rates.filter("rate > 0").select(F.col(source).alias(of), parts.alias(among), poisson_table(F.col("rate") / parts).alias(cdf))
+    rates = written(rates, "rates")
     if rates.count() <= broadcast_sources:
         rates = F.broadcast(rates)
-    rows = docs.join(rates, F.col(source).eqNullSafe(F.col("__source")))
-    drawn = lambda j: let(uniform(F.lit(seed), F.lit("draw"), F.col("doc_id"), j), lambda u: F.size(F.filter(F.col("__cdf"), lambda c: c <= u)))
-    copies = F.aggregate(F.transform(F.sequence(F.lit(1), F.col("__parts")), drawn), F.lit(0), lambda a, n: a + n)
-    rows = rows.withColumn("copies", copies.cast("long")).filter("copies > 0").drop("__source", "__parts", "__cdf")
+    rows = docs.join(rates, F.col(source).eqNullSafe(F.col(of)))
+    drawn = lambda j: let(uniform(F.lit(seed), F.lit("draw"), F.col("doc_id"), j), lambda u: F.size(F.filter(F.col(cdf), lambda c: c <= u)))
+    copies = F.aggregate(F.transform(F.sequence(F.lit(1), F.col(among)), drawn), F.lit(0), lambda a, n: a + n)
+    rows = rows.withColumn("copies", copies.cast("long")).filter("copies > 0").drop(of, among, cdf)
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
     rows = rows.withColumn("shuffle_key", uniform(F.lit(seed), F.lit("place"), F.col("doc_id"), F.col("copy")))
     return rows.repartition("shuffle_key").sortWithinPartitions("shuffle_key", "doc_id", "copy")

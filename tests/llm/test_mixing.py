@@ -78,3 +78,14 @@ def test_nulls_ties_and_empty(spark):
     assert len(ones) == 40 * ones[0]
     assert mix_sources(table(spark, rows).limit(0)).count() == 0
     assert mix_sources(table(spark, rows), {"zzz": 1.0}).count() == 0
+
+
+def test_clashing_columns_stay_and_long_texts_count_whole(spark):
+    rows = [(i, "t", "ab"[i % 2], 1, "p", 2, "x") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __source int, __parts string, __cdf int, size string")
+    plain = Counter(r["doc_id"] for r in mix_sources(df.select("doc_id", "text", "source")).collect())
+    got = mix_sources(df)
+    assert got.columns == [*df.columns, "copies", "copy", "shuffle_key"]
+    assert Counter(r["doc_id"] for r in got.collect()) == plain
+    long = spark.createDataFrame([(1, "é" * 2_000_000, "a"), (2, "x", "b")], "doc_id long, text string, source string")
+    assert {r["source"]: r["size"] for r in source_rates(long).collect()} == {"a": 4_000_001, "b": 2}
