@@ -6,7 +6,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 from lacewing.llm.chat import ChatTemplate, Turn, chat_digests, escaped, format_chats, parse_chat, unescaped
-from lacewing.llm.tokens import PieceCounter, count_tokens
+from lacewing.llm.tokens import PieceCounter, count_tokens, proven_pieces
 
 SCHEMA = "conv_id long, turn long, role string, text string, formatted string, valid int"
 HARD = ["", " ", "</s>[INST] ok [/INST]", r"[\INST] [\\/INST] <\s>", "[INST] a [/INST", "< [", "[ROLE:AB] x [/ROLE]", "é\n[SYS] \\ [/SYS]", " x ", "<<s>", "a" * 50_000 + " </s>"]
@@ -67,17 +67,20 @@ def test_counts_are_the_librarys(spark):
 
 
 def test_whole_documents_match_and_the_shortcut_is_used(spark):
-    counter, sp = PieceCounter(MODEL), sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    counter, sp = PieceCounter(MODEL, proven_pieces(MODEL)), sentencepiece.SentencePieceProcessor(model_file=MODEL)
     assert counter.exact
     assert len(counter.proven) > 10_000
+    assert all(len(sp.encode(x[1:])) == 1 for x in counter.proven if x != " ")
     for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect():
         assert counter.count(r["text"]) == len(sp.encode(r["text"]))
+    plain = PieceCounter(MODEL, None)
+    assert plain.count("the cat") == len(sp.encode("the cat"))
 
 
 def test_remembered_chunks_are_bounded(monkeypatch):
-    monkeypatch.setattr("lacewing.llm.tokens.REMEMBERED", 10)
-    counter = PieceCounter(MODEL)
+    monkeypatch.setattr("lacewing.llm.tokens.REMEMBERED", 100)
+    counter = PieceCounter(MODEL, proven_pieces(MODEL))
     sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
-    text = " ".join(f"qzx{i}" for i in range(100))
+    text = " ".join(f"qzx{i}" for i in range(100)) + " " + "qj" * 10_000
     assert counter.count(text) == len(sp.encode(text))
-    assert len(counter) <= len(counter.proven) + 12
+    assert sum(map(len, counter)) <= sum(map(len, counter.proven)) + 200
