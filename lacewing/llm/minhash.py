@@ -9,6 +9,8 @@
    components are compared by signature in blocks of bounded size, and those that may
    reach the threshold are confirmed on full sets in the block, unless links found
    there have joined their components. No pair in a bucket is left out, and none is a row.
+   The bucket's largest component meets only the rest, so a large group of near copies
+   costs no more than its members times the chunks of the few that aren't in it.
 4. Components by alternating large-star and small-star.
 """
 
@@ -36,7 +38,8 @@ class MinHash:
     """Parameters: at a similarity s a pair shares no band with (1 - s**rows)**bands.
 
     ``margin`` is the least share of equal minima at which a pair is compared in full:
-    over four standard deviations below the threshold at the defaults.
+    over four standard deviations below the threshold at the defaults. A block compares
+    ``block`` classes of a bucket with each other, or two chunks of half as many.
     """
 
     threshold: int = 75
@@ -45,7 +48,7 @@ class MinHash:
     rows: int = 4
     seed: int = 7
     margin: float = 0.585
-    block: int = 1000
+    block: int = 512
 
     @property
     def hashes(self) -> int:
@@ -231,18 +234,38 @@ def _settled_rivals(rivals: DataFrame, params: MinHash) -> DataFrame:
     return dealt.mapInArrow(linked, "u long, v long")
 
 
+def _dealt(named: DataFrame, block: int) -> DataFrame:
+    """Members of buckets that hold several components, once for each block they are compared in.
+
+    ``(key, band, id, component, chunk, i, j)`` from ``(key, band, id, component)``. A bucket of
+    at most ``block`` members is one block. Of a larger one the members of its largest
+    component, whose chunks are numbered from -1 downwards, meet the chunks of the rest, from
+    0 upwards; the rest meet each other too. A block is a pair of chunks, each of half a block.
+    """
+    half = max(block // 2, 1)
+    of = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = of.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n")).filter("n > top.n")
+    one = F.col("n") <= block
+    chunks = lambda n: F.ceil(n / F.lit(half)).cast("int")
+    mixed = mixed.select("key", F.when(~one, F.col("top.component")).alias("top"), F.when(one, F.lit(1)).otherwise(chunks(F.col("n") - F.col("top.n"))).alias("rest"), F.when(one, F.lit(0)).otherwise(chunks(F.col("top.n"))).alias("tops"))
+    members = named.join(mixed, "key")
+    inside = F.col("component").eqNullSafe(F.col("top"))
+    chunk = F.when(inside, -1 - F.pmod(F.xxhash64("id"), F.col("tops"))).otherwise(F.pmod(F.xxhash64("id"), F.col("rest"))).cast("int")
+    pair = lambda a, b: F.struct(F.least(a, b).alias("i"), F.greatest(a, b).alias("j"))
+    others = F.transform(F.sequence(F.lit(0), F.col("rest") - 1), lambda k: pair(F.col("chunk"), k))
+    above = F.when(F.col("tops") > 0, F.transform(F.sequence(F.lit(1), F.col("tops")), lambda k: pair(F.col("chunk"), -k))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
+    members = members.withColumn("chunk", chunk).withColumn("at", F.explode(F.when(inside, others).otherwise(F.concat(others, above))))
+    return members.select("key", "band", "id", "component", "chunk", "at.i", "at.j")
+
+
 def _across(bands: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, params: MinHash, broadcast_ids: int) -> DataFrame:
     """Confirmed links between different components that share a bucket.
 
-    A bucket of many classes is dealt to blocks, one for each pair of its chunks, so no
-    task gets a bucket; pairs are looked at where they are and only links come out.
+    A bucket of many classes is dealt to blocks, so no task gets a bucket; pairs are
+    looked at where they are and only links come out.
     """
     named = bands.join(labels, bands["id"] == labels["node"], "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n")).filter("a != b").select("key", F.ceil(F.col("n") / params.block).cast("int").alias("g"))
-    members = named.join(mixed, "key").join(classes.select("id", "sig"), "id")
-    chunk = F.pmod(F.xxhash64("id"), F.col("g")).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda j: F.struct(F.least(chunk, j).alias("i"), F.greatest(chunk, j).alias("j")))
-    members = members.withColumn("chunk", chunk).withColumn("at", F.explode(blocks)).withColumns({"i": F.col("at.i"), "j": F.col("at.j")})
+    members = _dealt(named, params.block).join(classes.select("id", "sig"), "id")
     rivals = written(_rivals(members, params), "rivals")
     sets = _sets_of(rivals.select(F.col("id").alias("doc_id")), docs, params, broadcast_ids)
     return written(_settled_rivals(rivals.join(sets, "id"), params).distinct(), "links")
@@ -255,8 +278,8 @@ def near_duplicates(docs: DataFrame, params: MinHash | None = None, broadcast_id
     a component's id is its least ``doc_id``, whose rows are kept. Null or blank text has
     no shingles and is linked with nothing. Rows with equal ids are one document's: what
     either links is linked, and they share a verdict. Rows without an id aren't compared:
-    they are kept, with a null component. Other columns are ignored; an empty table
-    gives no rows.
+    they are kept, with a null component. Very long texts are read whole. Other columns
+    are ignored; an empty table gives no rows.
     """
     params = params or MinHash()
     rows = written(signatures(docs, params), "signatures")

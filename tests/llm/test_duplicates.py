@@ -7,7 +7,7 @@ import pytest
 
 from lacewing.llm.components import connected_components
 from lacewing.llm.exact import DigestIndex, drop_exact_duplicates, exact_duplicates
-from lacewing.llm.minhash import MinHash, drop_near_duplicates, near_duplicates
+from lacewing.llm.minhash import MinHash, _dealt, drop_near_duplicates, near_duplicates
 from lacewing.llm.shingles import shingle_set
 
 SCHEMA = "doc_id long, text string, key string, id long, digest string, n int"
@@ -160,7 +160,7 @@ def variants(rng, n, groups, length):
     return list(enumerate(rows))
 
 
-@pytest.mark.parametrize(("seed", "block"), [(1, 1000), (2, 7)])
+@pytest.mark.parametrize(("seed", "block"), [(1, 1000), (2, 7), (3, 2)])
 def test_near_matches_brute_force(spark, seed, block):
     rng = random.Random(seed)
     rows = variants(rng, 12, 12, 60) + [(1000 + i, t) for i, t in enumerate([None, "", "  ", "A b", "a B", "a b c", "One two three four five", "one two three four FIVE", "É é a b c d", "é é a b c d"])]
@@ -188,3 +188,28 @@ def test_ids_can_be_joined_by_a_shuffle(spark):
     rows = variants(random.Random(4), 4, 3, 60)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(table(spark, rows), broadcast_ids=0).collect()}
     assert got == brute_near(rows)
+
+
+@pytest.mark.parametrize("block", [1, 6, 40, 1000])
+def test_blocks_hold_each_pair_across_components_once(spark, block):
+    rng = random.Random(block)
+    named = [(1, 0, i, 5 if i < 60 else 1000 + i % 9) for i in range(80)] + [(2, 1, i, i) for i in range(30)] + [(3, 1, i, 4) for i in range(50)] + [(4, 2, 100 + i, rng.randrange(3)) for i in range(12)]
+    blocks = defaultdict(list)
+    for r in _dealt(spark.createDataFrame(named, "key long, band int, id long, component long"), block).collect():
+        blocks[r["key"], r["i"], r["j"]].append(r)
+    met = Counter()
+    for (key, i, j), rows in blocks.items():
+        for x in rows:
+            for y in rows:
+                if x["id"] < y["id"] and x["component"] != y["component"] and (x["chunk"] != y["chunk"] or i == j):
+                    met[key, x["id"], y["id"]] += 1
+    want = {(k, a, b) for k, _, a, c in named for k2, _, b, d in named if k == k2 and a < b and c != d}
+    assert set(met) == want
+    assert set(met.values()) == {1}
+
+
+def test_near_of_very_long_texts_and_many_copies(spark):
+    long = " ".join(f"w{i}" for i in range(200_000))
+    rows = [(1, long), (2, long + " end"), (3, "x" * 1_500_000), (4, "x" * 1_500_000)] + [(10 + i, "a b c d e f g") for i in range(500)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(table(spark, rows)).collect()}
+    assert got == {1: (199_996, 1), 2: (199_997, 1), 3: (1, 3), 4: (1, 3)} | {10 + i: (3, 10) for i in range(500)}
