@@ -13,8 +13,9 @@ distance from their starts. So
    before the shuffle. All others are repeats;
 3. words under a repeat go.
 
-Rows travel as packed arrays, one per task and bucket of hashes. Texts are read again in
-each step instead of carried.
+Rows travel as packed arrays, one per task and bucket of hashes. A worker holds a bucket at
+a time; the number of buckets follows the size of the corpus, so that a bucket stays small
+however much a partition holds. Texts are read again in each step instead of carried.
 """
 
 from __future__ import annotations
@@ -37,6 +38,27 @@ BROADCAST_IDS = 200_000
 #: Rows that a task gathers before it packs and sends them.
 CHUNK = 1 << 20
 LOWEST = -(1 << 63)
+#: Bytes of text whose hashes a shuffle partition gets, about, and most partitions made for that.
+PART_BYTES, MOST_PARTS = 64 << 20, 1 << 16
+#: Bytes of text whose hashes a bucket gets at most, about, and least buckets a partition.
+BUCKET_BYTES, SPREAD = 8 << 20, 24
+
+
+@dataclass(frozen=True)
+class Layout:
+    """Shuffle partitions, and buckets of hashes within them."""
+
+    parts: int
+    buckets: int
+
+    @classmethod
+    def of(cls, text_bytes: int, parts: int) -> Layout:
+        """For a corpus of ``text_bytes``, in at least ``parts`` partitions."""
+        parts = max(parts, min(-(-text_bytes // PART_BYTES), MOST_PARTS))
+        return cls(parts, max(SPREAD * parts, -(-text_bytes // BUCKET_BYTES)))
+
+    def dealt(self, rows: DataFrame, *order: str) -> DataFrame:
+        return rows.repartition(self.parts, "bucket").sortWithinPartitions("bucket", *order)
 
 
 @dataclass(frozen=True)
@@ -93,7 +115,22 @@ def _joined(groups: pa.Table, column: str, kind: str) -> np.ndarray:
 FOUND = pa.schema([("bucket", pa.int32()), ("id", pa.binary()), ("tag", pa.binary()), ("place", pa.binary())])
 
 
-def _by_document(found: DataFrame, buckets: int) -> DataFrame:
+def _found(pieces: Iterator[list[np.ndarray]], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Found (ids, tags, places), packed by document in chunks."""
+    held, n = [], 0
+    for piece in pieces:
+        held.append(piece)
+        n += len(piece[0])
+        if n >= CHUNK:
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            yield from _packed((), columns[0] % buckets, columns, FOUND)
+            held, n = [], 0
+    if n:
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        yield from _packed((), columns[0] % buckets, columns, FOUND)
+
+
+def _by_document(found: DataFrame, layout: Layout) -> DataFrame:
     """``(id, tag, places)``: a row per document of all its packed places."""
     out = pa.schema([("id", pa.int64()), ("tag", pa.int64()), ("places", pa.binary())])
 
@@ -106,7 +143,7 @@ def _by_document(found: DataFrame, buckets: int) -> DataFrame:
             starts = np.concatenate([[0], cuts])
             yield pa.RecordBatch.from_arrays([pa.array(ids[starts]), pa.array(tags[starts]), pa.array([x.tobytes() for x in np.split(places, cuts)], pa.binary())], schema=out)
 
-    return found.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(gathered, "id long, tag long, places binary")
+    return layout.dealt(found).mapInArrow(gathered, "id long, tag long, places binary")
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], rows_of: Callable, flush: Callable) -> Iterator[pa.RecordBatch]:
@@ -125,8 +162,9 @@ def _gathered(batches: Iterator[pa.RecordBatch], rows_of: Callable, flush: Calla
         yield from flush([np.concatenate(c) for c in zip(*held, strict=True)])
 
 
-def shared_anchors(docs: DataFrame, cover: Cover, buckets: int) -> DataFrame:
+def shared_anchors(docs: DataFrame, cover: Cover, layout: Layout) -> DataFrame:
     """``(id, places)``: for documents of ``docs(id, text)`` packed positions of anchors that occur twice or more."""
+    buckets = layout.buckets
     schema = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), *[(n, pa.binary()) for n in ("hash", "id", "at", "alone")]])
 
     def of_document(id: int, text: str | None):
@@ -148,27 +186,30 @@ def shared_anchors(docs: DataFrame, cover: Cover, buckets: int) -> DataFrame:
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _gathered(batches, of_document, flush)
 
-    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         for g in _groups(batches, 2):
             ids, at = _joined(g, "id", "<i8"), _joined(g, "at", "<u4")
             if not g.column("known")[0].as_py():
                 hashes, alone = _joined(g, "hash", "<u8"), _joined(g, "alone", "<u1")
                 _, which = np.unique(hashes, return_inverse=True)
-                shared = np.bincount(which, 2.0 - alone)[which] > 1
-                shared &= alone > 0
-                ids, at = ids[shared], at[shared]
-            yield from _packed((), ids % buckets, [ids, np.zeros(len(ids), np.int64), at], FOUND)
+                again = (np.bincount(which, 2.0 - alone)[which] > 1) & (alone > 0)
+                ids, at = ids[again], at[again]
+            yield [ids, np.zeros(len(ids), np.int64), at]
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _found(shared(batches), buckets)
 
     sent = docs.select("id", "text").mapInArrow(asked, "bucket int, known boolean, hash binary, id binary, at binary, alone binary")
-    found = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "known").mapInArrow(answered, "bucket int, id binary, tag binary, place binary")
-    return _by_document(found, buckets).select("id", "places")
+    found = layout.dealt(sent, "known").mapInArrow(answered, "bucket int, id binary, tag binary, place binary")
+    return _by_document(found, layout).select("id", "places")
 
 
-def repeated_windows(docs: DataFrame, cover: Cover, buckets: int) -> DataFrame:
+def repeated_windows(docs: DataFrame, cover: Cover, layout: Layout) -> DataFrame:
     """``(id, tag, places)``: packed starts of the windows that also start earlier.
 
     ``docs(id, tag, text, places)`` has the shared anchors of its documents.
     """
+    buckets = layout.buckets
     schema = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), *[(n, pa.binary()) for n in ("hash", "more", "id", "tag", "start")]])
 
     def of_document(id: int, tag: int, text: str | None, at: bytes):
@@ -199,17 +240,20 @@ def repeated_windows(docs: DataFrame, cover: Cover, buckets: int) -> DataFrame:
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _gathered(batches, of_document, flush)
 
-    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def later(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         for g in _groups(batches, 2):
             ids, tags, starts = _joined(g, "id", "<i8"), _joined(g, "tag", "<i8"), _joined(g, "start", "<u4")
             if not g.column("known")[0].as_py():
                 again = repeats(_joined(g, "hash", "<u8"), _joined(g, "more", "<u4"), ids, starts)
                 ids, tags, starts = ids[again], tags[again], starts[again]
-            yield from _packed((), ids % buckets, [ids, tags, starts], FOUND)
+            yield [ids, tags, starts]
+
+    def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _found(later(batches), buckets)
 
     sent = docs.select("id", "tag", "text", "places").mapInArrow(asked, "bucket int, known boolean, hash binary, more binary, id binary, tag binary, start binary")
-    found = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "known").mapInArrow(answered, "bucket int, id binary, tag binary, place binary")
-    return _by_document(found, buckets)
+    found = layout.dealt(sent, "known").mapInArrow(answered, "bucket int, id binary, tag binary, place binary")
+    return _by_document(found, layout)
 
 
 def _kept(docs: DataFrame, cover: Cover, texts: bool) -> DataFrame:
@@ -238,17 +282,20 @@ def _kept(docs: DataFrame, cover: Cover, texts: bool) -> DataFrame:
     return docs.select("doc_id", "text", "places").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts)
 
 
-def remove_repeats(docs: DataFrame, cover: Cover | None = None, texts: bool = True, buckets: int | None = None, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
+def remove_repeats(docs: DataFrame, cover: Cover | None = None, texts: bool = True, layout: Layout | None = None, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """``(doc_id, n_words, n_removed, kept_sha256 [, kept_text])`` of each row of ``docs(doc_id, text)``.
 
     A word goes if it lies in a window that also starts earlier: in a document with a
     lesser ``doc_id``, or earlier in the same one. Kept words are joined by one space.
     Null text has no words. A null id comes before all others; rows with equal ids count
     as one document with several texts: of equal windows at the same start in them none
-    is earlier. Other columns are ignored; an empty table gives no rows.
+    is earlier. Very long texts are read whole. Other columns are ignored; an empty table
+    gives no rows. ``layout`` follows from the size of all texts unless given.
     """
     cover, spark = cover or Cover(), docs.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if layout is None:
+        size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0]
+        layout = Layout.of(size or 0, int(spark.conf.get("spark.sql.shuffle.partitions")))
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     named = whole.select("doc_id", "text", F.coalesce("doc_id", F.lit(LOWEST)).alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tag"))
 
@@ -259,10 +306,10 @@ def remove_repeats(docs: DataFrame, cover: Cover | None = None, texts: bool = Tr
             return named, None
         return named.join(F.broadcast(ids), "id", "left_semi"), named.join(F.broadcast(ids), "id", "left_anti")
 
-    anchors = written(shared_anchors(named, cover, buckets), "anchors")
+    anchors = written(shared_anchors(named, cover, layout), "anchors")
     tidy(spark)
     some, _ = split(anchors)
-    repeats = written(repeated_windows(some.join(anchors, "id"), cover, buckets), "repeats")
+    repeats = written(repeated_windows(some.join(anchors, "id"), cover, layout), "repeats")
     tidy(spark)
     some, others = split(repeats)
     out = _kept(some.join(repeats, ["id", "tag"], "left"), cover, texts)

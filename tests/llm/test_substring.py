@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from lacewing.llm.substring import Cover, remove_repeats
+from lacewing.llm.substring import BUCKET_BYTES, Cover, Layout, remove_repeats
 
 SCHEMA = "doc_id long, text string, id long, tag string, at int"
 
@@ -56,7 +56,7 @@ def corpus(seed, n=120):
 def test_matches_brute_force(spark, seed, chunk, limit, monkeypatch):
     monkeypatch.setattr("lacewing.llm.substring.CHUNK", chunk)
     rows = corpus(seed)
-    got = Counter(map(tuple, remove_repeats(table(spark, rows).repartition(5), buckets=7, broadcast_ids=limit).collect()))
+    got = Counter(map(tuple, remove_repeats(table(spark, rows).repartition(5), layout=Layout(5, 17), broadcast_ids=limit).collect()))
     assert got == brute(rows, 20)
 
 
@@ -90,3 +90,12 @@ def test_smallest_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     assert Counter(map(tuple, remove_repeats(docs).collect())) == brute(rows, 20)
+
+
+def test_buckets_stay_small_as_the_corpus_grows():
+    assert Layout.of(0, 8) == Layout(8, 192)
+    for size in (10**6, 10**9, 30 * 10**9, 10**14):
+        layout = Layout.of(size, 51)
+        assert size / layout.buckets <= BUCKET_BYTES
+        assert 51 <= layout.parts <= max(51, 1 << 16)
+        assert layout.buckets < 1 << 31
