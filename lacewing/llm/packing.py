@@ -35,7 +35,7 @@ SLACK = 1e-3
 #: Share of the best duals so far in those that columns are priced by.
 SMOOTH = 0.8
 #: Pivots between two inversions from scratch.
-REFRESH = 200
+REFRESH = 1000
 
 
 def knapsack(lengths: np.ndarray, values: np.ndarray, room: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,6 +71,9 @@ class Simplex:
     is a column too: it keeps the duals in the order of the lengths, so that few columns have to be
     priced. It starts from single pieces. ``need`` is raised by a little for each length, so that no
     basic pattern is used 0 times and each pivot lowers the cost.
+
+    Products go by ``einsum`` and inversion by pivots, not by a BLAS library: its threads have been
+    seen to wait for ever in a process that had started a JVM.
     """
 
     def __init__(self, need: np.ndarray) -> None:
@@ -81,27 +84,41 @@ class Simplex:
 
     def step(self, pattern: Counter) -> np.ndarray:
         """By how much the basic patterns fall when ``pattern`` is used once."""
-        return self.inverse[:, list(pattern)] @ np.array(list(pattern.values()), float)
+        return np.einsum("ij,j->i", self.inverse[:, list(pattern)], np.array(list(pattern.values()), float))
 
     def duals(self) -> np.ndarray:
-        return self.cost @ self.inverse
+        return np.einsum("i,ij->j", self.cost, self.inverse)
 
-    def replace(self, out: int, pattern: Counter, step: np.ndarray, often: float, cost: float = 1.0) -> None:
-        """``pattern``, used ``often``, becomes basic in place of ``out``; the caller has moved the others."""
+    def pivot(self, out: int, step: np.ndarray) -> None:
+        """The inverse after a column, ``step`` in terms of the basis, has taken the place ``out``."""
         row, rest = self.inverse[out] / step[out], step.copy()
         rest[out] = 0
         rows, cols = np.flatnonzero(np.abs(rest) > 1e-12), np.flatnonzero(row)
         self.inverse[np.ix_(rows, cols)] -= np.outer(rest[rows], row[cols])
-        self.inverse[out], self.basis[out], self.x[out], self.cost[out] = row, pattern, often, cost
+        self.inverse[out] = row
+
+    def replace(self, out: int, pattern: Counter, step: np.ndarray, often: float, cost: float = 1.0) -> None:
+        """``pattern``, used ``often``, becomes basic in place of ``out``; the caller has moved the others."""
+        self.pivot(out, step)
+        self.basis[out], self.x[out], self.cost[out] = pattern, often, cost
         self.pivots += 1
 
     def refresh(self) -> None:
-        """The inverse and ``x`` anew from the patterns, without the errors of the updates."""
-        matrix = np.zeros_like(self.inverse)
-        for k, pattern in enumerate(self.basis):
-            matrix[list(pattern), k] = list(pattern.values())
-        self.inverse = np.linalg.inv(matrix)
-        self.x = np.maximum(self.inverse @ self.need, 0)
+        """The inverse and ``x`` anew from the patterns, without the errors of the updates.
+
+        Pivots from single pieces again, short patterns first as they fill in less; of the places
+        that are left a pattern takes the one where it counts most.
+        """
+        m = len(self.need)
+        old, cost = self.basis, self.cost
+        self.basis, self.cost, self.inverse = [Counter()] * m, np.ones(m), np.eye(m)
+        free = np.ones(m, bool)
+        for k in sorted(range(m), key=lambda k: (len(old[k]), k)):
+            step = self.step(old[k])
+            out = int(np.where(free, np.abs(step), -1).argmax())
+            self.pivot(out, step)
+            self.basis[out], self.cost[out], free[out] = old[k], cost[k], False
+        self.x = np.maximum(np.einsum("ij,j->i", self.inverse, self.need), 0)
 
     def first_used_up(self, fall: np.ndarray) -> tuple[int, float]:
         """Which basic pattern is used up first as they fall, and when; of equals the one that falls fastest."""
@@ -212,7 +229,7 @@ def column_generation(counts: dict[int, int], room: int, seeds: list[tuple[dict[
             columns[k, list(pattern)] = list(pattern.values())
         while True:
             own = program.duals()
-            worth = np.concatenate([columns @ own - 1, np.append(0, own[:-1]) - own])
+            worth = np.concatenate([np.einsum("ij,j->i", columns, own) - 1, np.append(0, own[:-1]) - own])
             if worth.max() <= 1e-7:
                 break
             if program.pivots >= max_rounds:
@@ -274,12 +291,41 @@ def pieces(docs: DataFrame, tokenizer: str, end: int, length: int) -> DataFrame:
     return rows.mapInArrow(cut, ", ".join(f"{n} long" for n in names)).withColumn("full", F.col("length") == length)
 
 
+def _seated(rest: DataFrame, ranges: list[tuple[int, ...]]) -> DataFrame:
+    """``(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset)`` of ranked remainders.
+
+    ``ranges(size, low, high, often, first, base)`` tile the ranks of each size; a row finds its
+    range by binary search in the sorted table, which is broadcast: ITEMS rows for each doubling
+    digit of the histogram at most.
+    """
+    own = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    names = [*own, "sequence_id", "offset"]
+    table = np.array(sorted(ranges), np.int64).reshape(-1, 6)
+    shared = rest.sparkSession.sparkContext.broadcast(table)
+
+    def seated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, low, _, often, first, base = shared.value.T
+        sizes = np.unique(size)
+        # ranges of a size lie together: their lows go on from its first row's place in one line
+        step = int(low.max()) + 1 if len(low) else 1
+        line = np.searchsorted(sizes, size) * step + low
+        for b in batches:
+            length, rank = (b.column(c).to_numpy() for c in ("length", "rank"))
+            at = np.searchsorted(line, np.searchsorted(sizes, length) * step + np.minimum(rank, step - 1), side="right") - 1
+            nth = rank - low[at]
+            seat = first[at] + nth % often[at], base[at] + nth // often[at] * size[at]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in own], *map(pa.array, seat)], names=names)
+
+    return rest.select(*own, "rank").mapInArrow(seated, ", ".join(f"{n} long" for n in names))
+
+
 def pack_documents(docs: DataFrame, tokenizer: str, end: int = 0, length: int = 1024, parts: int = PARTS) -> DataFrame:
     """``(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset)``, a row per piece.
 
     A document of ``docs(doc_id, text)`` is its ids and the end id. Null text counts as
-    empty: one id. Repeated rows and rows without an id are packed each. Sequence ids and
-    offsets are gapless from 0. Other columns are ignored; an empty table gives no rows.
+    empty: one id. Very long texts are encoded whole and cut. Repeated rows and rows without
+    an id are packed each. Sequence ids and offsets are gapless from 0. Other columns are
+    ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
     cut = written(pieces(docs, tokenizer, end, length), "pieces")
@@ -292,14 +338,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, end: int = 0, length: int =
             used[size] += copies * often
             offset += size * copies
         first += often
-    # a row per pattern and length: ITEMS rows for each doubling digit of the histogram at most
-    table = spark.createDataFrame(ranges, "size long, low long, high long, often long, first long, base long")
     own = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     rest = cut.filter("NOT full").withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))
-    rest = numbered(rest, "length", "part", ["row"], "rank")
-    packed = rest.join(F.broadcast(table), (F.col("length") == F.col("size")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
-    nth = F.col("rank") - F.col("low")
-    packed = packed.select(*own, (F.col("first") + nth % F.col("often")).alias("sequence_id"), (F.col("base") + F.floor(nth / F.col("often")) * F.col("size")).alias("offset"))
+    packed = _seated(numbered(rest, "length", "part", ["row"], "rank"), ranges)
     one = cut.filter("full").withColumn("one", F.lit(1).cast("long"))
     whole = running_total(one, ["row", "start"], "one", "nth").select(*own, (F.lit(first) + F.col("nth")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(whole)
