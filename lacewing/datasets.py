@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lacewing.model import Graph
+from lacewing.model import CompressedGraph, Graph, GraphMeta
 
 #: First id of each kind of entity.
 BASE = {"region": 0, "nation": 100, "supplier": 1_000, "part": 100_000, "customer": 1_000_000, "order": 10_000_000}
@@ -21,6 +21,11 @@ def supplier_parts(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph.from_edges(_edges(line, "supplier", "l_suppkey", "part", "l_partkey").distinct())
 
 
+def supplier_lines(spark: SparkSession, sf_dir: str) -> Graph:
+    """The same as a multigraph, an edge for each delivery: rows have runs of one symbol."""
+    return Graph.from_edges(_edges(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "supplier", "l_suppkey", "part", "l_partkey"))
+
+
 def hierarchy(spark: SparkSession, sf_dir: str) -> Graph:
     """Acyclic: region, nation, supplier, part and nation, customer, order, part."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
@@ -47,14 +52,28 @@ def event_chain(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph.from_edges(edges)
 
 
-def event_components(spark: SparkSession, sf_dir: str) -> Graph:
-    """The event chain cut into at least seven components."""
-    edges = event_chain(spark, sf_dir).edges.filter("src % 7 = dst % 7")
-    return Graph.from_edges(edges)
-
-
 def customer_suppliers(spark: SparkSession, sf_dir: str) -> Graph:
     """Bipartite multigraph that hardly compresses: whom a customer's orders were filled by."""
     line, orders = spark.read.parquet(f"{sf_dir}/lineitem.parquet"), spark.read.parquet(f"{sf_dir}/orders.parquet")
     joined = line.join(orders, line["l_orderkey"] == orders["o_orderkey"])
     return Graph.from_edges(_edges(joined, "customer", "o_custkey", "supplier", "l_suppkey"))
+
+
+def given_grammar(spark: SparkSession, sf_dir: str, nested: bool = True) -> CompressedGraph:
+    """A grammar that no compressor made: a supplier's row is its nation, a rule for that nation's customers.
+
+    With ``nested`` a nation's body also has, in front, the nation five below it.
+    """
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    rule = lambda c: F.col(c).cast("long") + BASE["order"]
+    suppliers, customers, nations = read("supplier"), read("customer"), read("nation")
+    zero = F.lit(0).cast("long")
+    rows = suppliers.select((F.col("s_suppkey").cast("long") + BASE["supplier"]).alias("id"), zero.alias("seg"), zero.alias("pos"), rule("s_nationkey").alias("sym"))
+    bodies = customers.select(rule("c_nationkey").alias("id"), zero.alias("seg"), F.col("c_custkey").cast("long").alias("pos"), (F.col("c_custkey").cast("long") + BASE["customer"]).alias("sym"))
+    strings = rows.unionByName(bodies)
+    if nested:
+        inner = nations.filter("n_nationkey >= 5").select(rule("n_nationkey").alias("id"), zero.alias("seg"), F.lit(-1).cast("long").alias("pos"), (rule("n_nationkey") - 5).alias("sym"))
+        strings = strings.unionByName(inner)
+    ids = rows.select("id").unionByName(customers.select((F.col("c_custkey").cast("long") + BASE["customer"]).alias("id")))
+    rules = strings.filter(F.col("id") >= BASE["order"]).select("id").distinct().count()
+    return CompressedGraph(strings, ids, None, GraphMeta(ids.count(), rules, BASE["order"]))

@@ -129,6 +129,7 @@ def repair(graph: Graph, batch: int = 32768, max_rounds: int = 1000, min_gain: i
     Stops when no pair occurs twice, when the best pair saves no more than ``min_gain``
     ((freq - 1) - 1), or after ``max_rounds``. The result is lossless in any case.
     """
+    graph = graph.kept
     spark: SparkSession = graph.spark
     base, rules = graph.meta.rule_base, []
 

@@ -12,7 +12,7 @@ from lacewing.plans.propagate import iterate
 def rule_levels(c: CompressedGraph) -> DataFrame:
     """``(id, level)``: 0 if only vertices use a rule, else one more than its deepest user.
 
-    A rule that nothing uses has a null level.
+    A rule that nothing uses has a null level. Rules are acyclic, so a round settles a level.
     """
     uses = c.strings.filter(c.is_rule("sym")).select(F.col("id").alias("user"), F.col("sym").alias("id")).distinct()
     between = uses.filter(c.is_rule("user"))
@@ -27,4 +27,4 @@ def rule_levels(c: CompressedGraph) -> DataFrame:
         grew = F.coalesce(F.col("new") > F.col("level"), F.lit(False))
         return out.select("id", F.when(grew, F.col("new")).otherwise(F.col("level")).alias("level"), grew.alias("changed"))
 
-    return iterate(start, step, lambda s, _: s.filter("changed").limit(1).count() > 0, 100_000).select("id", "level")
+    return iterate(start, step, lambda s, _: not s.filter("changed").isEmpty(), 1 << 62).select("id", "level")

@@ -37,7 +37,7 @@ def _verdicts(c: CompressedGraph, inline: Callable[[Column, Column], Column]) ->
         return s.select("id", "plain", "freq", "length", F.when(F.col("known"), inline(F.col("length"), F.col("freq"))).alias("merged"))
 
     # Rules are acyclic, so each round decides one level more.
-    state = iterate(state, step, lambda s, _: s.filter("merged is null").limit(1).count() > 0, 1_000_000)
+    state = iterate(state, step, lambda s, _: not s.filter("merged is null").isEmpty(), 1 << 62)
     return state.select("id", "merged")
 
 
@@ -56,7 +56,7 @@ def _pruned(c: CompressedGraph, inline: Callable[[Column, Column], Column]) -> C
     numbers = settled(indexed(kept, ["id"]).select("id", (F.col("idx") + c.meta.rule_base).alias("new")))
     strings = expanded(c.strings.join(merged, "id", "left_anti"), _bodies(gone))
     strings = _renumbered(_renumbered(strings, numbers, "id"), numbers, "sym")
-    return CompressedGraph(settled(strings), c.vertices, c.edges, GraphMeta(c.meta.vertex_cnt, numbers.count(), c.meta.rule_base))
+    return CompressedGraph(settled(strings), c.vertices, c.edges, GraphMeta(c.meta.vertex_cnt, numbers.count(), c.meta.rule_base), schedule=c.schedule)
 
 
 def _renumbered(strings: DataFrame, numbers: DataFrame, column: str) -> DataFrame:
@@ -82,7 +82,7 @@ def flatten_rules(c: CompressedGraph) -> CompressedGraph:
     used = c.strings.filter(~c.is_rule("id")).filter(c.is_rule("sym")).select(F.col("sym").alias("id")).distinct()
     bodies = bodies.join(used, "id", "left_semi")
     strings = settled(c.strings.filter(~c.is_rule("id")).unionByName(bodies))
-    return CompressedGraph(strings, c.vertices, c.edges, GraphMeta(c.meta.vertex_cnt, used.count(), c.meta.rule_base))
+    return CompressedGraph(strings, c.vertices, c.edges, GraphMeta(c.meta.vertex_cnt, used.count(), c.meta.rule_base), schedule=c.schedule)
 
 
 def rule_statistics(c: CompressedGraph) -> DataFrame:

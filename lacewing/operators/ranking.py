@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacewing.model import CompressedGraph, Graph
-from lacewing.plans.propagate import iterate, push
-from lacewing.session import settled
+from lacewing.plans.propagate import RoundProgram, kept, run_rounds
 
 
 def pagerank(graph: Graph | CompressedGraph, damping: float = 0.85, max_iter: int = 10, eps: float | None = 1e-7, teleport: str = "V", dangling: str = "drop", stop: str = "l1") -> DataFrame:
@@ -22,23 +21,29 @@ def pagerank(graph: Graph | CompressedGraph, damping: float = 0.85, max_iter: in
     """
     if teleport not in ("V", "V+R") or dangling not in ("drop", "uniform") or stop not in ("l1", "linf"):
         raise ValueError("unknown option")
+    graph = kept(graph)
     n = graph.meta.vertex_cnt
     if not n:
         return graph.vertices.select("id", F.lit(0.0).alias("rank"))
     spread = n + (graph.meta.rule_cnt if teleport == "V+R" else 0)
-    start = graph.out_degrees().select("id", "out_degree", F.lit(1.0 / n).alias("rank"), F.lit(0.0).alias("change"))
 
-    def step(state: DataFrame, _: int) -> DataFrame:
-        shares = state.filter("out_degree > 0").select("id", (F.col("rank") / F.col("out_degree")).alias("share"))
-        got = push(graph, shares, {"share": "sum"})
+    def apply(joined: DataFrame, state: DataFrame) -> DataFrame:
         lost = 0.0
         if dangling == "uniform":
             lost = state.filter("out_degree = 0").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         rank = F.lit(damping) * F.coalesce("share", F.lit(0.0)) + F.lit((1 - damping) / spread + damping * lost / spread)
-        return state.join(got, "id", "left").select("id", "out_degree", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("change"))
+        return joined.select("id", "out_degree", rank.alias("rank"), F.abs(rank - F.col("rank")).alias("change"))
 
     measure = F.sum if stop == "l1" else F.max
-    return iterate(start, step, lambda s, _: eps is None or s.agg(measure("change")).first()[0] >= eps, max_iter).select("id", "rank")
+    program = RoundProgram(
+        init=lambda g: g.out_degrees().select("id", "out_degree", F.lit(1.0 / n).alias("rank"), F.lit(0.0).alias("change")),
+        send=lambda: {"share": F.col("rank") / F.col("out_degree")},
+        combine={"share": "sum"},
+        apply=apply,
+        unfinished=lambda s: eps is None or s.agg(measure("change")).first()[0] >= eps,
+        active=F.col("out_degree") > 0,
+    )
+    return run_rounds(graph, program, max_iter).select("id", "rank")
 
 
 def hits(graph: Graph | CompressedGraph, max_iter: int = 10, norm: str = "l2", naming: str = "standard") -> DataFrame:
@@ -50,18 +55,24 @@ def hits(graph: Graph | CompressedGraph, max_iter: int = 10, norm: str = "l2", n
     """
     if norm not in ("l2", "sumsq") or naming not in ("standard", "reference"):
         raise ValueError("unknown option")
-    start = graph.vertices.select("id", F.lit(1.0).alias("hub"), F.lit(1.0).alias("authority"))
-
-    def step(state: DataFrame, _: int) -> DataFrame:
-        into = push(graph, state.select("id", F.col("hub").alias("a")), {"a": "sum"})
-        out = push(graph, state.select("id", F.col("authority").alias("h")), {"h": "sum"}, reverse=True)
-        new = state.select("id").join(into, "id", "left").join(out, "id", "left").select("id", F.coalesce("h", F.lit(0.0)).alias("h"), F.coalesce("a", F.lit(0.0)).alias("a"))
-        new = settled(new)
-        hh, aa = new.agg(F.sum(F.col("h") * F.col("h")), F.sum(F.col("a") * F.col("a"))).first()
-        by = lambda x: (math.sqrt(x) if norm == "l2" else x) or 1.0
-        return new.select("id", (F.col("h") / F.lit(by(hh or 0.0))).alias("hub"), (F.col("a") / F.lit(by(aa or 0.0))).alias("authority"))
-
-    out = iterate(start, step, lambda _, __: True, max_iter)
+    by = {"hub": 1.0, "authority": 1.0}  # the norms that the state is still to be divided by
+
+    def norms(state: DataFrame) -> bool:
+        for name, x in zip(by, state.agg(*[F.sum(F.col(c) * F.col(c)) for c in by]).first(), strict=True):
+            by[name] = (math.sqrt(x or 0.0) if norm == "l2" else x) or 1.0
+        return True
+
+    part = lambda c: F.col(c) / F.lit(by[c])
+    program = RoundProgram(
+        init=lambda g: g.vertices.select("id", F.lit(1.0).alias("hub"), F.lit(1.0).alias("authority")),
+        send=lambda: {"in": part("hub")},
+        against=lambda: {"out": part("authority")},
+        combine={"in": "sum", "out": "sum"},
+        apply=lambda joined, _: joined.select("id", F.coalesce("out", F.lit(0.0)).alias("hub"), F.coalesce("in", F.lit(0.0)).alias("authority")),
+        unfinished=norms,
+    )
+    out = run_rounds(kept(graph), program, max_iter)
+    out = out.select("id", part("hub").alias("hub"), part("authority").alias("authority"))
     if naming == "reference":
         out = out.select("id", F.col("authority").alias("hub"), F.col("hub").alias("authority"))
     return out.select("id", "hub", "authority")

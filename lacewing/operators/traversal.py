@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacewing.model import CompressedGraph, Graph
-from lacewing.plans.propagate import VertexProgram, iterate, push, run_program
+from lacewing.plans.propagate import VertexProgram, iterate, kept, push, run_program
+from lacewing.session import drop_path, table_path, written
 
 
 def _root(graph: Graph | CompressedGraph, root: int) -> DataFrame:
@@ -23,6 +24,7 @@ def bfs(graph: Graph | CompressedGraph, root: int) -> DataFrame:
         init=lambda g: _root(g, root).select("id", F.struct(F.lit(0).cast("long").alias("level"), F.col("id").alias("parent")).cast(state).alias("val")),
         message=lambda id, val, _: F.struct((val["level"] + 1).alias("level"), id.alias("parent")).cast(state),
     )
+    graph = kept(graph)
     found = run_program(graph, program)
     return graph.vertices.join(found, "id", "left").select("id", F.col("val.level").alias("level"), F.col("val.parent").alias("parent"))
 
@@ -49,35 +51,36 @@ def sssp(graph: Graph | CompressedGraph, root: int, weighted: bool = False) -> D
         message=lambda _, val, weight: (val + weight).cast(kind),
         weighted=weighted,
     )
-    rounds = graph.meta.vertex_cnt + 1
-    found = run_program(graph, program, max_iter=rounds)
-    if weighted:
-        once = run_program(graph, VertexProgram(lambda _: found, program.message, weighted=True), max_iter=1)
-        if once.join(found.withColumnRenamed("val", "old"), "id").filter("val < old").limit(1).count():
-            raise ValueError("a negative cycle is within reach of the root")
+    graph = kept(graph)
+    try:
+        # hops can't go on for ever; weights can, and then for more rounds than there are vertices
+        found = run_program(graph, program, max_iter=graph.meta.vertex_cnt + 1 if weighted else 1 << 62)
+    except RuntimeError as e:
+        raise ValueError("a negative cycle is within reach of the root") from e
     return graph.vertices.join(found, "id", "left").select("id", F.col("val").alias("dist"))
 
 
 def cc_directed(graph: Graph | CompressedGraph) -> DataFrame:
     """``(id, label)``: the least id among a vertex and all that reach it along edges."""
     program = VertexProgram(init=lambda g: g.vertices.select("id", F.col("id").alias("val")), message=lambda _, val, __: val)
-    return run_program(graph, program).select("id", F.col("val").alias("label"))
+    return run_program(kept(graph), program).select("id", F.col("val").alias("label"))
 
 
 def wcc(graph: Graph | CompressedGraph) -> DataFrame:
     """``(id, label)``: weakly connected components, named by their least id.
 
-    Alternates hooking (each vertex offers its label to all neighbours' labels) and
-    pointer jumping, so rounds grow with the logarithm of the longest path.
+    Alternates hooking (each vertex offers its label to all neighbours' labels, along edges
+    and against them) and pointer jumping, so rounds grow with the logarithm of the longest
+    path. On a compressed graph labels pass through rules both ways.
     """
-    ends = graph.edges.select("src", "dst")
-    links = ends.unionByName(ends.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src != dst").distinct().persist()
+    graph = kept(graph)
     start = graph.vertices.select("id", F.col("id").alias("label"), F.lit(True).alias("changed"))
 
     def step(state: DataFrame, _: int) -> DataFrame:
         label = state.select("id", "label")
-        near = links.join(label, links["src"] == label["id"]).groupBy("dst").agg(F.min("label").alias("near"))
-        hooked = label.join(near, label["id"] == near["dst"], "left").select("id", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
+        offers = push(graph, label, {"label": "min"}).unionByName(push(graph, label, {"label": "min"}, reverse=True))
+        near = offers.groupBy(F.col("id").alias("at")).agg(F.min("label").alias("near"))
+        hooked = label.join(near, label["id"] == near["at"], "left").select("id", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
         # the old root of a hooked vertex follows it
         roots = hooked.groupBy(F.col("label").alias("root")).agg(F.min("new").alias("to"))
         jumped = hooked.join(roots.withColumnRenamed("root", "r2"), F.col("new") == F.col("r2"), "left")
@@ -87,7 +90,7 @@ def wcc(graph: Graph | CompressedGraph) -> DataFrame:
         final = F.least("new", F.coalesce("to3", "new"))
         return out.select("id", final.alias("label"), (final < F.col("label")).alias("changed"))
 
-    state = iterate(start, step, lambda s, _: s.filter("changed").limit(1).count() > 0, 1_000_000)
+    state = iterate(start, step, lambda s, _: not s.filter("changed").isEmpty(), 1 << 62)
     return state.select("id", "label")
 
 
@@ -95,16 +98,40 @@ def topo_levels(graph: Graph | CompressedGraph) -> DataFrame:
     """``(id, level)``: the longest path from a vertex without in-edges; null on or behind a cycle.
 
     A vertex is released once all its in-edges have delivered, so each edge is used once.
+    A round rewrites the vertices that have some of their messages, not all vertices.
     """
-    start = graph.in_degrees().select("id", F.col("in_degree").alias("waits"), F.when(F.col("in_degree") == 0, F.lit(0)).cast("long").alias("level"), (F.col("in_degree") == 0).alias("fresh"), F.lit(-1).cast("long").alias("seen"))
-
-    def step(state: DataFrame, _: int) -> DataFrame:
-        sent = push(graph, state.filter("fresh").select("id", F.lit(1).cast("long").alias("one"), F.col("level").alias("above")), {"one": "sum", "above": "max"})
-        out = state.join(sent, "id", "left")
-        waits = F.col("waits") - F.coalesce("one", F.lit(0))
-        seen = F.greatest(F.col("seen"), F.coalesce("above", F.lit(-1)))
-        fresh = F.col("level").isNull() & (waits == 0)
-        return out.select("id", waits.alias("waits"), F.when(fresh, seen + 1).otherwise(F.col("level")).alias("level"), fresh.alias("fresh"), seen.alias("seen"))
-
-    state = iterate(start, step, lambda s, _: s.filter("fresh").limit(1).count() > 0, 1_000_000)
-    return state.select("id", "level")
+    graph = kept(graph)
+    spark, paths = graph.spark, []
+
+    def held(df: DataFrame) -> DataFrame:
+        paths.append(table_path(spark, "levels"))
+        return written(df, "levels", paths[-1])
+
+    degrees = held(graph.in_degrees().filter("in_degree > 0").select(F.col("id").alias("to"), "in_degree"))
+    fresh = held(graph.vertices.join(degrees, F.col("id") == F.col("to"), "left_anti").select("id", F.lit(0).cast("long").alias("level")))
+    released, partial, last = [fresh], None, None
+    while not fresh.isEmpty():
+        sent = push(graph, fresh.select("id", F.lit(1).cast("long").alias("got"), F.col("level").alias("above")), {"got": "sum", "above": "max"})
+        if partial is not None:
+            sent = sent.unionByName(partial).groupBy("id").agg(F.sum("got").alias("got"), F.max("above").alias("above"))
+        path = table_path(spark, "partial")
+        told = written(sent.join(degrees, F.col("id") == F.col("to")).select("id", "got", "above", "in_degree"), "partial", path)
+        partial = told.filter("got < in_degree").select("id", "got", "above")
+        fresh = held(told.filter("got = in_degree").select("id", (F.col("above") + 1).alias("level")))
+        if last:
+            drop_path(spark, last)
+        last = path
+        released.append(fresh)
+        if len(released) > 16:
+            released = [held(_union(released[:-1])), fresh]
+    out = written(graph.vertices.join(_union(released), "id", "left").select("id", "level"), "levels")
+    for p in [*paths, *([last] if last else [])]:
+        drop_path(spark, p)
+    return out
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out

@@ -105,6 +105,5 @@ def tidy(spark: SparkSession) -> None:
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint, for loop states. With adaptive execution on, a reader doesn't know its partitioning."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` as a table in the shared folder, for states between rounds."""
+    return written(df, "state")
