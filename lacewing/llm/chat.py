@@ -89,7 +89,7 @@ def format_chats(rows: DataFrame, template: ChatTemplate = TEMPLATE) -> DataFram
     A null role or text is empty; rows without a ``conv_id`` are one conversation with
     a null id. Roles that the template doesn't know are marked with their name in hex.
     ``segments`` is an array of (text, loss): marks, then escaped text, then marks;
-    ``formatted`` joins them. Empty tables give no rows.
+    ``formatted`` joins them. Very long texts are formatted whole. Empty tables give no rows.
     """
     t = template
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))

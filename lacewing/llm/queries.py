@@ -28,6 +28,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one whose texts are control strings, formatted and read back."""
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     more = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
@@ -35,42 +36,51 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of each whole text."""
     return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of near equal size."""
     placed = shard_documents(_table(spark, sf_dir, "documents"), shards=16)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures and verdict of each document, and of its host on it."""
     return quality_rules(_table(spark, sf_dir, "documents")).drop("source")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All texts as ids in coded files, and each document as read back from them."""
     path = table_path(spark, "tokens")
     write_token_files(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end=1)
     return read_token_files(spark, path, ids=False)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without runs of 20 words that start earlier too."""
     return remove_repeats(_table(spark, sf_dir, "documents"), texts=False)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each piece of each document and its seat in sequences of 1024 ids."""
     return pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=0, length=1024)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The copies of each document at temperature 0.7, and their places in the shuffle."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixture_order(mix_sources(docs, temperature=0.7, seed=1))
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on each document against a new index."""
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of each document."""
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 

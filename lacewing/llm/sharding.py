@@ -190,7 +190,7 @@ def shard_documents(docs: DataFrame, shards: int | None = 16, capacity: int | No
     empty. ``slot`` numbers the rows of a shard from 0 by part, then ``doc_id`` (nulls
     first). Repeated rows are kept each. A group larger than a shard fills one alone.
     "As few" is by best fit within ranges of about ``RANGE`` shards.
-    Other columns are ignored; an empty table gives no rows.
+    Very long texts are measured whole. Other columns are ignored; an empty table gives no rows.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lacewing.llm.encode import encoder
-from lacewing.llm.huffman import Code, code_lengths
+from lacewing.llm.huffman import SEGMENT, Code, code_lengths
 from lacewing.session import drop_path, table_path, tidy, written
 
 #: Ids in a block, unless one document has more.
@@ -72,8 +72,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int | Non
     """Write the ids of ``docs(doc_id, text)`` under ``path`` by ascending ``doc_id``.
 
     Null ids come first; rows with equal ids are ordered by their coded ids. Null text
-    counts as empty. Repeated rows are written each; an empty table makes empty files.
-    ``parts`` defaults to the session's shuffle partitions.
+    counts as empty. Repeated rows are written each, and very long texts whole, in a block of
+    their own; other columns are ignored; an empty table makes empty files. ``parts`` defaults to the session's shuffle partitions.
     """
     spark = docs.sparkSession
     raw = table_path(spark, "ids")
@@ -94,7 +94,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int | Non
             texts = [np.frombuffer(x, kind) for x in b.column(1).to_pylist()]
             counts = np.array([len(x) for x in texts], np.int64)
             data, taken, marks = code.encode(np.concatenate(texts).astype(np.int64), counts)
-            pieces = np.cumsum(-(-counts // 128))
+            pieces = np.cumsum(-(-counts // SEGMENT))
             starts, part = np.cumsum(taken) - taken, np.searchsorted(bounds, b.column(0).fill_null(-(1 << 63)).to_numpy(), side="right")
             coded, checks, low = [], [], 0
             for k in range(len(texts)):
