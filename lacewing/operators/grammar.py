@@ -126,33 +126,41 @@ def _rounds(segments: DataFrame, choose: Callable[[DataFrame], list[tuple[int, i
 def repair(graph: Graph, batch: int = 32768, max_rounds: int = 1000, min_gain: int = -1, segment: int = SEGMENT) -> CompressedGraph:
     """Compress ``graph``; ``batch`` bounds the pairs that a round accepts and tells all tasks.
 
+    The driver holds those of one round; the rules of a round are written as it ends.
+
     Stops when no pair occurs twice, when the best pair saves no more than ``min_gain``
     ((freq - 1) - 1), or after ``max_rounds``. The result is lossless in any case.
     """
     graph = graph.kept
     spark: SparkSession = graph.spark
-    base, rules = graph.meta.rule_base, []
+    base, made = graph.meta.rule_base, 0
+    bodies = table_path(spark, "bodies")
+    schema = "id long, seg long, pos long, sym long"
+    spark.createDataFrame([], schema).write.mode("append").parquet(bodies)
 
     def choose(segments: DataFrame) -> list[tuple[int, int, int]]:
+        nonlocal made
         top = _frequencies(segments).orderBy(F.desc("freq"), "left", "right").limit(max(batch, 1) * (4 if batch > 1 else 1)).collect()
         chosen = _disjoint([p for p in top if p["freq"] - 2 > min_gain], batch)
-        new = [(base + len(rules) + k, p["left"], p["right"]) for k, p in enumerate(chosen)]
-        rules.extend(new)
+        new = [(base + made + k, p["left"], p["right"]) for k, p in enumerate(chosen)]
+        if new:
+            made += len(new)
+            spark.createDataFrame([(r, 0, k, x) for r, *pair in new for k, x in enumerate(pair)], schema).coalesce(1).write.mode("append").parquet(bodies)
         return new
 
     segments, path = _rounds(_segments(graph.symbols(segment)), choose, max_rounds)
-    bodies = spark.createDataFrame([(r, 0, k, x) for r, *pair in rules for k, x in enumerate(pair)], "id long, seg long, pos long, sym long")
     rows = segments.select("id", "seg", F.posexplode("syms").alias("pos", "sym")).withColumn("pos", F.col("pos").cast("long"))
-    strings = settled(rows.unionByName(bodies))
+    strings = settled(rows.unionByName(spark.read.schema(schema).parquet(bodies)))
     drop_path(spark, path)
-    return CompressedGraph(strings, graph.vertices, graph.edges, GraphMeta(graph.meta.vertex_cnt, len(rules), base))
+    drop_path(spark, bodies)
+    return CompressedGraph(strings, graph.vertices, graph.edges, GraphMeta(graph.meta.vertex_cnt, made, base))
 
 
 def decompress(c: CompressedGraph) -> Graph:
     """The original rows, by expanding rules level by level; as many rounds as rules nest."""
     rules = c.strings.filter(c.is_rule("id")).select(F.col("id").alias("rule"), F.struct(F.col("seg").alias("rs"), F.col("pos").alias("rp")).alias("inner"), F.col("sym").alias("child"))
     rows = c.strings.filter(~c.is_rule("id"))
-    while rows.filter(c.is_rule("sym")).limit(1).count():
+    while not rows.filter(c.is_rule("sym")).isEmpty():
         rows = settled(expanded(rows, rules))
     sizes = rows.groupBy("id", "seg").agg(F.count(F.lit(1)).alias("size"))
     earlier = Window.partitionBy("id").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)

@@ -51,7 +51,7 @@ def _pruned(c: CompressedGraph, inline: Callable[[Column, Column], Column]) -> C
     verdicts = settled(_verdicts(c, inline))
     merged, kept = verdicts.filter("merged").select("id"), verdicts.filter("not merged").select("id")
     gone = c.strings.filter(c.is_rule("id")).join(merged, "id", "left_semi")
-    while gone.join(merged.withColumnRenamed("id", "sym"), "sym", "left_semi").limit(1).count():
+    while not gone.join(merged.withColumnRenamed("id", "sym"), "sym", "left_semi").isEmpty():
         gone = settled(expanded(gone, _bodies(gone)))
     numbers = settled(indexed(kept, ["id"]).select("id", (F.col("idx") + c.meta.rule_base).alias("new")))
     strings = expanded(c.strings.join(merged, "id", "left_anti"), _bodies(gone))
@@ -77,7 +77,7 @@ def filter_rules_decomposed(c: CompressedGraph, min_freq: int = 4, min_length: i
 def flatten_rules(c: CompressedGraph) -> CompressedGraph:
     """The same rules, with rules inside rule bodies expanded: every rule is at one level."""
     bodies = c.strings.filter(c.is_rule("id"))
-    while bodies.filter(c.is_rule("sym")).limit(1).count():
+    while not bodies.filter(c.is_rule("sym")).isEmpty():
         bodies = settled(expanded(bodies, _bodies(bodies)))
     used = c.strings.filter(~c.is_rule("id")).filter(c.is_rule("sym")).select(F.col("sym").alias("id")).distinct()
     bodies = bodies.join(used, "id", "left_semi")

@@ -1,22 +1,30 @@
 """Graph files: edge lists, adjacency text, MatrixMarket, raw int32 CSR, separator streams.
 
-Formats whose meaning depends on the place of a token in the file are read through
-Hadoop input splits and numbered with ``zipWithIndex``; everything after that is
-DataFrame work. Malformed input raises.
+Text is read by Spark's text source. Where the meaning of a token depends on its place in
+the file, places are (file, block, row), and tokens are numbered by a sort. Raw integers are
+read in blocks, each a slice of a file that one task turns into a column. A path may be a file
+or a folder of part files in the order of their names. Malformed input raises.
 """
 
 from __future__ import annotations
 
-import struct
 import sys
+from collections.abc import Iterator
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacewing.functions import running_total
-from lacewing.model import Graph
-from lacewing.session import settled
+from lacewing.functions import indexed, running_total
+from lacewing.model import CompressedGraph, Graph
+from lacewing.session import settled, written
+
+#: Bytes of a raw file that a task reads at once.
+BLOCK = 16 << 20
+#: An unsigned or negative whole number. Fixed value.
+WHOLE = r"^-?[0-9]+$"
 
 
 def _require(spark: SparkSession, path: str) -> None:
@@ -25,28 +33,44 @@ def _require(spark: SparkSession, path: str) -> None:
         raise FileNotFoundError(path)
 
 
+def _lines(spark: SparkSession, path: str, comments: str = "") -> DataFrame:
+    """``(file, block, row, words)`` of the lines that are neither blank nor comments; places are in file order."""
+    _require(spark, path)
+    rows = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("row"))
+    rows = rows.withColumn("value", F.trim(F.regexp_replace("value", r"[\s,]+", " "))).filter("value != ''")
+    if comments:
+        rows = rows.filter(~F.substring("value", 1, 1).isin(list(comments)))
+    return rows.select("file", "block", "row", F.split("value", " ").alias("words"))
+
+
+PLACE = ["file", "block", "row"]
+
+
 def _tokens(spark: SparkSession, path: str) -> DataFrame:
     """``(idx, token)``: the white-space separated tokens of a file in order."""
-    _require(spark, path)
-    rows = spark.sparkContext.textFile(path).flatMap(str.split).zipWithIndex().map(lambda x: (x[1], x[0]))
-    return settled(spark.createDataFrame(rows, "idx long, token string"))
+    each = _lines(spark, path).select(*PLACE, F.posexplode("words").alias("at", "token"))
+    return settled(indexed(each, [*PLACE, "at"]).select("idx", "token"))
 
 
-def _pairs(spark: SparkSession, path: str, comments: str) -> DataFrame:
-    _require(spark, path)
-    words = F.split(F.trim(F.col("value")), r"[\s,]+")
-    lines = spark.read.text(path).filter(~F.trim(F.col("value")).rlike(f"^([{comments}].*)?$"))
-    return lines.select(words.alias("w"))
+def _numbers(token: str) -> Column:
+    """The token as a number; anything else is an error of the cast."""
+    return F.col(token).cast("long")
 
 
 def read_edge_list(spark: SparkSession, path: str, dense: bool = True) -> Graph:
-    """``src dst [weight]`` lines; a header line and ``#``/``%`` comments are skipped.
+    """``src dst [weight]`` lines; one header line and ``#``/``%`` comments are skipped.
 
-    ``dense`` makes every id from 0 to the largest a vertex.
+    ``dense`` makes every id from 0 to the largest a vertex. A line that does not begin with two
+    whole numbers is a header if it is the first and begins with a letter, else an error.
     """
-    w = _pairs(spark, path, "#%")
-    w = w.filter(~(F.lower(F.col("w")[0]).rlike("^[a-z_]+$")))
-    edges = w.select(F.col("w")[0].cast("long").alias("src"), F.col("w")[1].cast("long").alias("dst"), *([F.col("w")[2].cast("double").alias("weight")] if w.filter(F.size("w") > 2).limit(1).count() else []))
+    lines = _lines(spark, path, "#%")
+    edge = (F.size("words") >= 2) & F.get("words", 0).rlike(WHOLE) & F.coalesce(F.get("words", 1).rlike(WHOLE), F.lit(False))
+    place = F.struct(*PLACE)
+    bad, first, odd, most = lines.agg(F.count_if(~edge), F.min(place), F.min(F.when(~edge, F.struct(place.alias("place"), "words"))), F.max(F.when(edge, F.size("words")))).first()
+    if bad and (bad > 1 or odd["place"] != first or not odd["words"][0][:1].isalpha()):
+        raise ValueError(f"{path}: {bad} lines are not edges, first: {' '.join(odd['words'])!r}")
+    weight = [F.get("words", 2).cast("double").alias("weight")] if (most or 0) > 2 else []
+    edges = lines.filter(edge).select(*[F.get("words", k).cast("long").alias(c) for k, c in enumerate(("src", "dst"))], *weight)
     return Graph.from_edges(edges, dense=dense)
 
 
@@ -71,32 +95,52 @@ def read_adjacency(spark: SparkSession, path: str) -> Graph:
     n, m = int(head[1]), int(head[2])
     if t.count() != 3 + n + m:
         raise ValueError(f"{path}: {n} offsets and {m} targets are announced")
-    number = F.col("token").cast("long")
-    vlist = t.filter((F.col("idx") >= 3) & (F.col("idx") < 3 + n)).select((F.col("idx") - 3).alias("v"), number.alias("start"))
-    return _from_offsets(_rows(vlist, m), t.filter(F.col("idx") >= 3 + n).select((F.col("idx") - 3 - n).alias("idx"), number.alias("dst")), n)
+    vlist = t.filter((F.col("idx") >= 3) & (F.col("idx") < 3 + n)).select((F.col("idx") - 3).alias("v"), _numbers("token").alias("start"))
+    return _from_offsets(_rows(vlist, m), t.filter(F.col("idx") >= 3 + n).select((F.col("idx") - 3 - n).alias("idx"), _numbers("token").alias("dst")), n)
 
 
 def read_matrix_market(spark: SparkSession, path: str) -> Graph:
     """``coordinate pattern`` or ``coordinate real`` files, 1-based; V is the larger dimension."""
-    w = _pairs(spark, path, "%")
-    numbered = spark.sparkContext.textFile(path).filter(lambda x: x.strip() and not x.startswith("%")).first().split()
-    n, m = max(int(numbered[0]), int(numbered[1])), int(numbered[2])
-    entries = [F.col("w")[0].cast("long") - 1, F.col("w")[1].cast("long") - 1]
-    rows = spark.sparkContext.textFile(path).filter(lambda x: x.strip() and not x.startswith("%")).zipWithIndex().filter(lambda x: x[1] > 0).map(lambda x: (x[0].split(),))
-    body = spark.createDataFrame(rows, "w array<string>")
-    weighted = m > 0 and len(body.first()["w"]) > 2
-    edges = body.select(entries[0].alias("src"), entries[1].alias("dst"), *([F.col("w")[2].cast("double").alias("weight")] if weighted else []))
-    if edges.count() != m or w.count() != m + 1:
+    lines = written(_lines(spark, path, "%"), "lines")
+    head = lines.orderBy(*PLACE).first()
+    if head is None or len(head["words"]) != 3:
+        raise ValueError(f"{path}: no line of dimensions")
+    n, m = max(int(head["words"][0]), int(head["words"][1])), int(head["words"][2])
+    body = lines.filter((F.col("file") != head["file"]) | (F.col("block") != head["block"]) | (F.col("row") != head["row"]))
+    found, least, most = body.agg(F.count(F.lit(1)), F.min(F.size("words")), F.max(F.size("words"))).first()
+    if found != m or (m and least < 2):
         raise ValueError(f"{path}: {m} entries are announced")
+    weight = [F.get("words", 2).cast("double").alias("weight")] if m and most > 2 else []
+    edges = body.select(*[(F.get("words", k).cast("long") - 1).alias(c) for k, c in enumerate(("src", "dst"))], *weight)
     return Graph(edges, spark.range(n)).validate()
 
 
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
-    """``(idx, value)`` of a raw int32 file in this machine's byte order."""
+    """``(idx, value)`` of raw int32 numbers in this machine's byte order."""
     _require(spark, path)
-    form = "<i" if sys.byteorder == "little" else ">i"
-    rows = spark.sparkContext.binaryRecords(path, 4).zipWithIndex().map(lambda x: (x[1], struct.unpack(form, x[0])[0]))
-    return spark.createDataFrame(rows, "idx long, value long")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((x.getPath().toUri().toString(), x.getLen()) for x in fs.listStatus(target) if x.isFile() and not x.getPath().getName().startswith(("_", ".")))
+    blocks, before = [], 0
+    for name, size in files:
+        if size % 4:
+            raise ValueError(f"{name}: {size} bytes are no whole numbers of 4 each")
+        blocks += [(name, at, min(BLOCK, size - at), (before + at) // 4) for at in range(0, size, BLOCK)]
+        before += size
+    kind = "<i4" if sys.byteorder == "little" else ">i4"
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs as store
+
+        for b in batches:
+            for name, at, size, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                source, inner = store.FileSystem.from_uri(name if "://" in name else name.replace(":/", ":///", 1))
+                with source.open_input_file(inner) as f:
+                    values = np.frombuffer(f.read_at(size, at), kind).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(values))), pa.array(values)], names=["idx", "value"])
+
+    rows = spark.createDataFrame(blocks, "name string, at long, size long, first long")
+    return rows.repartition(max(len(blocks), 1), "name", "at").mapInArrow(read, "idx long, value long")
 
 
 def read_csr(spark: SparkSession, vlist: str, elist: str) -> Graph:
@@ -110,10 +154,31 @@ def read_csr(spark: SparkSession, vlist: str, elist: str) -> Graph:
     return _from_offsets(_rows(starts, m), e.select("idx", F.col("value").alias("dst")), n)
 
 
+def read_compressed_csr(spark: SparkSession, folder: str) -> CompressedGraph:
+    """The grammar in ``csr_vlist.bin``, ``csr_elist.bin`` and ``info.bin`` of a folder: V rows of vertices, R of rules.
+
+    A rule may only hold vertices and rules of lesser ids, as the grammar's expansion has to end.
+    """
+    both = {r["idx"]: r["value"] for r in read_binary(spark, f"{folder}/info.bin").collect()}
+    if len(both) != 2:
+        raise ValueError(f"{folder}/info.bin: not the numbers of vertices and rules")
+    n, rules = both[0], both[1]
+    plain = read_csr(spark, f"{folder}/csr_vlist.bin", f"{folder}/csr_elist.bin").kept
+    if plain.meta.vertex_cnt != n + rules:
+        raise ValueError(f"{folder}: {plain.meta.vertex_cnt} rows for {n} vertices and {rules} rules")
+    if not plain.edges.filter((F.col("src") >= n) & (F.col("dst") >= F.col("src"))).isEmpty():
+        raise ValueError(f"{folder}: a rule holds itself or a later one")
+    c = CompressedGraph.from_csr(plain, n, rules)
+    c.strings = settled(c.strings)
+    return c
+
+
 def read_separated(spark: SparkSession, path: str) -> Graph:
     """``V E`` and a symbol stream in which each symbol >= V ends a row; exactly V rows."""
-    t = _tokens(spark, path).select("idx", F.col("token").cast("long").alias("sym"))
+    t = _tokens(spark, path).select("idx", _numbers("token").alias("sym"))
     head = {r["idx"]: r["sym"] for r in t.filter("idx < 2").collect()}
+    if len(head) < 2:
+        raise ValueError(f"{path}: no numbers of vertices and edges")
     n = head[0]
     stream = t.filter("idx >= 2").withColumn("ends", (F.col("sym") >= n).cast("long"))
     rows = running_total(stream, ["idx"], "ends", "src")

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from lacewing import Graph
 from lacewing.operators import bfs, bfs_compressed, cc_directed, decompress, filter_rules, filter_rules_decomposed, flatten_rules, hits, hits_top, pagerank, repair, sssp, topo_levels, wcc
-from lacewing.plans import VertexProgram, edge_map, run_program, vertex_map, vertex_subset
+from lacewing.plans import RoundProgram, VertexProgram, edge_map, run_program, run_rounds, vertex_map, vertex_subset
 
 G3 = [[1, 2], [], [0, 1]]
 G6 = [[2, 3, 4, 5], [2, 3, 4, 5], [3, 4, 5], [], [5], [0]]
@@ -70,28 +70,129 @@ def test_golden_algorithms(spark):
     assert [r["id"] for r in hits_top(h, 2).collect()] == [0, 1]
 
 
-@pytest.mark.parametrize("seed", range(1))
-def test_compressed_answers_are_the_plain_ones(spark, seed):
+def shuffled_runs(seed, n=10):
+    """Rows from a small pool of runs, some with multi-edges."""
     rng = random.Random(seed)
-    n = 10
     pool = [rng.sample(range(n), rng.randrange(2, 6)) for _ in range(4)]
-    rows = [sum((rng.choice(pool) for _ in range(rng.randrange(3))), []) + [rng.randrange(n)] * rng.randrange(3) for _ in range(n)]
+    return [sum((rng.choice(pool) for _ in range(rng.randrange(3))), []) + [rng.randrange(n)] * rng.randrange(3) for _ in range(n)]
+
+
+def expanded(c):
+    """The plain rows of a grammar, in Python, and checks of its form on the way."""
+    body = bodies(c)
+    base = c.meta.rule_base
+    rules = [i for i in body if i >= base]
+    assert rules == list(range(base, base + c.meta.rule_cnt))
+    assert all(x < i for i in rules for x in body[i])
+    used = {x for r in body.values() for x in r}
+    assert set(rules) <= used
+
+    def spell(x):
+        return [x] if x < base else [y for z in body[x] for y in spell(z)]
+
+    return {i: [y for x in r for y in spell(x)] for i, r in body.items() if i < base}
+
+
+@pytest.fixture(scope="module")
+def twenty(spark):
+    """Twenty random graphs of ten vertices side by side, as one graph of two hundred."""
+    rows = [[d + 10 * seed for d in row] for seed in range(20) for row in shuffled_runs(seed)]
     g = graph(spark, rows)
-    full = repair(g)
-    for c in (filter_rules(full, 0), flatten_rules(full)):
-        back = {}
-        for r in decompress(c).edges.orderBy("src", "pos").collect():
-            back.setdefault(r["src"], []).append(r["dst"])
-        assert [back.get(v, []) for v in range(n)] == rows
-        ids = c.strings.filter(F.col("id") >= n)
-        assert ids.filter("sym >= id").count() == 0
-        for f, name in ((lambda x: sssp(x, 0), "dist"), (lambda x: bfs(x, 0), "parent"), (topo_levels, "level")):
-            assert column(f(c), name) == column(f(g), name)
-        assert column(pagerank(c, 0.85, 2), "rank") == pytest.approx(column(pagerank(g, 0.85, 2), "rank"))
-    assert column(cc_directed(full), "label") == column(cc_directed(g), "label")
-    assert column(hits(full, 1), "hub") == pytest.approx(column(hits(g, 1), "hub"))
-    reach = {r["id"] for r in bfs_compressed(full, 0).filter("parent IS NOT NULL").collect() if r["id"] < n}
-    assert reach == {r["id"] for r in bfs(g, 0).filter("level IS NOT NULL").collect()}
+    return rows, g, repair(g)
+
+
+@pytest.mark.parametrize("prune", [None, 0, -1, "and", "or", "flat"])
+def test_grammars_of_twenty_graphs_are_lossless(spark, twenty, prune):
+    rows, _, full = twenty
+    if prune is None:
+        c = full
+    elif prune == "flat":
+        c = flatten_rules(filter_rules(full, 0))
+        assert c.strings.filter(c.is_rule("id") & c.is_rule("sym")).isEmpty()
+    else:
+        c = filter_rules(full, prune) if isinstance(prune, int) else filter_rules_decomposed(full, 3, 3, mode=prune)
+    if prune != "flat":
+        assert expanded(c) == dict(enumerate(rows))
+    assert c.uses_rules()
+    back = {}
+    for r in decompress(c).edges.orderBy("src", "pos").collect():
+        back.setdefault(r["src"], []).append(r["dst"])
+    assert [back.get(v, []) for v in range(len(rows))] == rows
+
+
+def brute_levels(rows):
+    """Longest paths from vertices without in-edges; None on or behind a cycle."""
+    waits = [sum(row.count(v) for row in rows) for v in range(len(rows))]
+    level, fresh = {v: 0 for v, w in enumerate(waits) if not w}, [v for v, w in enumerate(waits) if not w]
+    top = dict.fromkeys(range(len(rows)), 0)
+    while fresh:
+        v = fresh.pop()
+        for d in rows[v]:
+            top[d], waits[d] = max(top[d], level[v] + 1), waits[d] - 1
+            if not waits[d]:
+                level[d] = top[d]
+                fresh.append(d)
+    return [level.get(v) for v in range(len(rows))]
+
+
+@pytest.mark.parametrize("schedule", ["flat", "levels"])
+def test_answers_on_the_grammar_of_twenty_graphs_are_the_plain_ones(spark, twenty, schedule):
+    rows, g, full = twenty
+    c = full.scheduled(schedule)
+    assert c.max_level >= 1
+    # a root in each of the twenty
+    starts = VertexProgram(lambda x: x.vertices.filter("id % 10 = 0").select("id", F.lit(0).cast("long").alias("val")), lambda _, val, weight: val + weight)
+    hops = {r["id"]: r["val"] for r in run_program(c, starts).collect()}
+    want = {}
+    for seed in range(20):
+        near, seen = [10 * seed], {10 * seed: 0}
+        while near:
+            near = [d for v in near for d in rows[v] if seen.setdefault(d, seen[v] + 1) == seen[v] + 1]
+            near = [d for d in dict.fromkeys(near) if seen[d] == max(seen.values())]
+        want |= seen
+    assert hops == want
+    assert column(topo_levels(c), "level") == brute_levels(rows)
+    assert column(cc_directed(c), "label") == column(cc_directed(g), "label")
+    assert column(wcc(c), "label") == column(wcc(g), "label")
+    assert column(pagerank(c, 0.85, 3, eps=None), "rank") == pytest.approx(column(pagerank(g, 0.85, 3, eps=None), "rank"))
+    for x in ("hub", "authority"):
+        assert column(hits(c, 2), x) == pytest.approx(column(hits(g, 2), x))
+    assert column(c.out_degrees(), "out_degree") == [len(r) for r in rows]
+    assert column(c.in_degrees(), "in_degree") == [sum(r.count(v) for r in rows) for v in range(len(rows))]
+
+
+def test_searches_on_a_grammar(spark, twenty):
+    rows, g, full = twenty
+    assert column(sssp(full, 30), "dist") == column(sssp(g, 30), "dist")
+    assert column(bfs(full, 30), "parent") == column(bfs(g, 30), "parent")
+    reach = {r["id"] for r in bfs_compressed(full, 30).filter("parent IS NOT NULL").collect() if r["id"] < len(rows)}
+    assert reach == {r["id"] for r in bfs(g, 30).filter("level IS NOT NULL").collect()}
+
+
+def test_long_paths_are_compacted_on_the_way_and_nothing_is_left(spark, tmp_path):
+    n = 30
+    g = graph(spark, [[v + 1] if v + 1 < n else [0] for v in range(n)])
+    assert column(sssp(g, 0), "dist") == list(range(n))
+    assert column(cc_directed(g), "label") == [0] * n
+    line = graph(spark, [[v + 1] if v + 1 < n else [] for v in range(n)])
+    assert column(topo_levels(line), "level") == list(range(n))
+    with pytest.raises(RuntimeError, match="not settled after 3 rounds"):
+        run_program(g, VertexProgram(lambda x: x.vertices.filter("id = 0").select("id", F.lit(0).cast("long").alias("val")), lambda _, val, weight: val + weight), max_iter=3)
+
+
+def test_programs_in_rounds(spark):
+    g = graph(spark, DAG6)
+    # how many walks of up to two edges end at each vertex
+    walks = RoundProgram(
+        init=lambda x: x.vertices.select("id", F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("all")),
+        send=lambda: {"got": F.col("n")},
+        combine={"got": "sum"},
+        apply=lambda joined, _: joined.select("id", F.coalesce("got", F.lit(0)).alias("n"), (F.col("all") + F.coalesce("got", F.lit(0))).alias("all")),
+    )
+    for x in (g, repair(g, batch=1)):
+        assert column(run_rounds(x, walks, 2), "all") == [1, 1, 3, 6, 9, 8]
+    stops = RoundProgram(walks.init, walks.send, walks.combine, walks.apply, unfinished=lambda s: not s.filter("n > 0").isEmpty())
+    assert column(run_rounds(g, stops, 100, settles=True), "all") == [1, 1, 3, 7, 16, 27]
 
 
 def test_programs_weights_and_frontiers(spark):
