@@ -48,7 +48,7 @@ class MinHash:
     rows: int = 4
     seed: int = 7
     margin: float = 0.585
-    block: int = 512
+    block: int = 256
 
     @property
     def hashes(self) -> int:
