@@ -38,27 +38,27 @@ BROADCAST_IDS = 200_000
 #: Rows that a task gathers before it packs and sends them.
 CHUNK = 1 << 20
 LOWEST = -(1 << 63)
-#: Bytes of text whose hashes a shuffle partition gets, about, and most partitions made for that.
-PART_BYTES, MOST_PARTS = 64 << 20, 1 << 16
-#: Bytes of text whose hashes a bucket gets at most, about, and least buckets a partition.
-BUCKET_BYTES, SPREAD = 8 << 20, 24
+#: Bytes of text whose hashes a bucket gets at most, about, and most partitions made for that.
+BUCKET_BYTES, MOST_PARTS = 32 << 20, 1 << 16
 
 
 @dataclass(frozen=True)
 class Layout:
-    """Shuffle partitions, and buckets of hashes within them."""
+    """Shuffle partitions, and buckets of hashes in them: a bucket's partition is its number modulo ``parts``."""
 
     parts: int
     buckets: int
 
     @classmethod
     def of(cls, text_bytes: int, parts: int) -> Layout:
-        """For a corpus of ``text_bytes``, in at least ``parts`` partitions."""
-        parts = max(parts, min(-(-text_bytes // PART_BYTES), MOST_PARTS))
-        return cls(parts, max(SPREAD * parts, -(-text_bytes // BUCKET_BYTES)))
+        """For a corpus of ``text_bytes``, in at least ``parts`` partitions, of as many buckets each."""
+        least = -(-text_bytes // BUCKET_BYTES)
+        parts = max(parts, min(least, MOST_PARTS))
+        return cls(parts, parts * max(1, -(-least // parts)))
 
     def dealt(self, rows: DataFrame, *order: str) -> DataFrame:
-        return rows.repartition(self.parts, "bucket").sortWithinPartitions("bucket", *order)
+        # by number, not by its hash: that would put several buckets into one task and none into another
+        return rows.repartitionById(self.parts, (F.col("bucket") % self.parts).cast("int")).sortWithinPartitions("bucket", *order)
 
 
 @dataclass(frozen=True)
