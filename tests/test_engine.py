@@ -81,7 +81,7 @@ def expanded(c):
     """The plain rows of a grammar, in Python, and checks of its form on the way."""
     body = bodies(c)
     base = c.meta.rule_base
-    rules = [i for i in body if i >= base]
+    rules = sorted(i for i in body if i >= base)
     assert rules == list(range(base, base + c.meta.rule_cnt))
     assert all(x < i for i in rules for x in body[i])
     used = {x for r in body.values() for x in r}
