@@ -75,14 +75,22 @@ def wcc(graph: Graph | CompressedGraph) -> DataFrame:
     """
     graph = kept(graph)
     start = graph.vertices.select("id", F.col("id").alias("label"), F.lit(True).alias("changed"))
+    paths: list[str] = []
+
+    def held(df: DataFrame, tag: str) -> DataFrame:
+        paths.append(table_path(df.sparkSession, tag))
+        return written(df, tag, paths[-1])
 
     def step(state: DataFrame, _: int) -> DataFrame:
+        while paths:
+            drop_path(state.sparkSession, paths.pop())
         label = state.select("id", "label")
         offers = push(graph, label, {"label": "min"}).unionByName(push(graph, label, {"label": "min"}, reverse=True))
         near = offers.groupBy(F.col("id").alias("at")).agg(F.min("label").alias("near"))
-        hooked = label.join(near, label["id"] == near["at"], "left").select("id", "label", F.least("label", F.coalesce("near", "label")).alias("new"))
-        # the old root of a hooked vertex follows it
-        roots = hooked.groupBy(F.col("label").alias("root")).agg(F.min("new").alias("to"))
+        hooked = held(label.join(near, label["id"] == near["at"], "left").select("id", "label", F.least("label", F.coalesce("near", "label")).alias("new")), "hooked")
+        # the old root of a hooked vertex follows it; a table, as a large component's label is a hot
+        # key, and adaptive joins split one only where no aggregation lies between shuffle and join
+        roots = held(hooked.groupBy(F.col("label").alias("root")).agg(F.min("new").alias("to")), "roots")
         jumped = hooked.join(roots.withColumnRenamed("root", "r2"), F.col("new") == F.col("r2"), "left")
         lowered = F.least("new", F.coalesce("to", "new"))
         own = roots.withColumnsRenamed({"root": "r3", "to": "to3"})
@@ -91,6 +99,8 @@ def wcc(graph: Graph | CompressedGraph) -> DataFrame:
         return out.select("id", final.alias("label"), (final < F.col("label")).alias("changed"))
 
     state = iterate(start, step, lambda s, _: not s.filter("changed").isEmpty(), 1 << 62)
+    for path in paths:
+        drop_path(graph.spark, path)
     return state.select("id", "label")
 
 
