@@ -248,7 +248,7 @@ def _dealt(named: DataFrame, block: int) -> DataFrame:
     one = F.col("n") <= block
     chunks = lambda n: F.ceil(n / F.lit(half)).cast("int")
     mixed = mixed.select("key", F.when(~one, F.col("top.component")).alias("top"), F.when(one, F.lit(1)).otherwise(chunks(F.col("n") - F.col("top.n"))).alias("rest"), F.when(one, F.lit(0)).otherwise(chunks(F.col("top.n"))).alias("tops"))
-    members = named.join(mixed, "key")
+    members = named.join(written(mixed, "mixed"), "key")
     inside = F.col("component").eqNullSafe(F.col("top"))
     chunk = F.when(inside, -1 - F.pmod(F.xxhash64("id"), F.col("tops"))).otherwise(F.pmod(F.xxhash64("id"), F.col("rest"))).cast("int")
     pair = lambda a, b: F.struct(F.least(a, b).alias("i"), F.greatest(a, b).alias("j"))
@@ -288,7 +288,8 @@ def near_duplicates(docs: DataFrame, params: MinHash | None = None, broadcast_id
     width = 4 * params.rows
     keys = F.transform(F.sequence(F.lit(0), F.lit(params.bands - 1)), lambda i: F.xxhash64(F.substring(F.col("sig"), i * width + 1, F.lit(width)), i))
     bands = written(classes.select("id", F.posexplode(keys).alias("band", "key")), "bands")
-    least = bands.groupBy("key").agg(F.min("id").alias("u"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "u")
+    # tables, where a bucket may be a hot key: adaptive joins don't split behind an aggregation
+    least = written(bands.groupBy("key").agg(F.min("id").alias("u"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "u"), "least")
     stars = bands.join(least, "key").filter("id != u").select("u", F.col("id").alias("v")).distinct()
     links = _confirmed(_likely(stars, classes, params), docs, params, broadcast_ids)
     labels = connected_components(links)

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
+from lacewing.llm import components
 from lacewing.llm.components import connected_components
 from lacewing.llm.exact import DigestIndex, drop_exact_duplicates, exact_duplicates
 from lacewing.llm.minhash import MinHash, _dealt, drop_near_duplicates, near_duplicates
@@ -138,6 +139,15 @@ def test_components(spark, seed):
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+@pytest.mark.parametrize("hubs", [1, 5, 10**6])
+def test_components_of_hubs(spark, monkeypatch, hubs):
+    monkeypatch.setattr(components, "HUBS", hubs)
+    rng = random.Random(hubs)
+    edges = [(rng.choice([0, 900, 901]), 1 + i) for i in range(600)] + [(2000 + i, 2001 + i) for i in range(40)] + [(3000, 3001)] * 5
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == brute_components(edges, {x for e in edges for x in e})
+
+
 def brute_near(rows):
     sets = {i: set(shingle_set(t).tolist()) for i, t in rows}
     ids = sorted(sets)
