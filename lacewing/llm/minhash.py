@@ -11,6 +11,8 @@
    there have joined their components. No pair in a bucket is left out, and none is a row.
    The bucket's largest component meets only the rest, so a large group of near copies
    costs no more than its members times the chunks of the few that aren't in it.
+   Such a group fills a bucket in nearly every band: buckets with one least class are
+   dealt as one where that compares fewer pairs than each by itself.
 4. Components by alternating large-star and small-star.
 """
 
@@ -170,7 +172,7 @@ def _rivals(members: DataFrame, params: MinHash) -> DataFrame:
     """Of each block the members with likely partners in another component, and those partners.
 
     ``(key, i, j, id, component, partners)``: a pair stands once, at the member with the
-    lesser id, in the first band that it shares; a partner has a row of its own.
+    lesser id, where the bucket of the first band that it shares is; a partner has a row of its own.
     """
     least, shape = params.margin * params.hashes, (-1, params.bands, params.rows)
     schema = "key long, i int, j int, id long, component long, partners array<long>"
@@ -179,7 +181,10 @@ def _rivals(members: DataFrame, params: MinHash) -> DataFrame:
         for g in _groups(batches, 3):
             ids, of, chunk = (g.column(c).to_numpy() for c in ("id", "component", "chunk"))
             sig = np.frombuffer(b"".join(g.column("sig").to_pylist()), np.uint32).reshape(len(ids), -1)
-            key, i, j, band = (g.column(c)[0].as_py() for c in ("key", "i", "j", "band"))
+            key, i, j = (g.column(c)[0].as_py() for c in ("key", "i", "j"))
+            bands = g.column("bands").combine_chunks()
+            has = np.zeros((len(ids), params.bands), bool)
+            has[np.repeat(np.arange(len(ids)), bands.value_lengths().to_numpy()), bands.flatten().to_numpy()] = True
             partners: dict[int, list[int]] = {}
             for k in range(len(ids)):
                 near = np.flatnonzero((of != of[k]) & (ids > ids[k]) & ((chunk != chunk[k]) | (i == j)))
@@ -188,7 +193,8 @@ def _rivals(members: DataFrame, params: MinHash) -> DataFrame:
                     enough = same.sum(axis=1) >= least
                     near, same = near[enough], same[enough]
                 if len(near):
-                    near = near[same.reshape(shape).all(axis=2).argmax(axis=1) == band]
+                    shared = same.reshape(shape).all(axis=2)
+                    near = near[shared.any(axis=1) & has[k][shared.argmax(axis=1)]]
                 if len(near):
                     partners[k] = ids[near].tolist()
                     for x in near.tolist():
@@ -197,7 +203,7 @@ def _rivals(members: DataFrame, params: MinHash) -> DataFrame:
                 at, n = sorted(partners), len(partners)
                 yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array([i] * n, pa.int32()), pa.array([j] * n, pa.int32()), pa.array(ids[at]), pa.array(of[at]), pa.array([partners[k] for k in at], pa.list_(pa.int64()))], names=["key", "i", "j", "id", "component", "partners"])
 
-    dealt = members.select("key", "i", "j", "id", "component", "chunk", "sig", "band").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = members.select("key", "i", "j", "id", "component", "chunk", "sig", "bands").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return dealt.mapInArrow(compared, schema)
 
 
@@ -237,7 +243,7 @@ def _settled_rivals(rivals: DataFrame, params: MinHash) -> DataFrame:
 def _dealt(named: DataFrame, block: int) -> DataFrame:
     """Members of buckets that hold several components, once for each block they are compared in.
 
-    ``(key, band, id, component, chunk, i, j)`` from ``(key, band, id, component)``. A bucket of
+    The columns of ``named(key, id, component, ...)`` with ``chunk``, ``i`` and ``j``. A bucket of
     at most ``block`` members is one block. Of a larger one the members of its largest
     component, whose chunks are numbered from -1 downwards, meet the chunks of the rest, from
     0 upwards; the rest meet each other too. A block is a pair of chunks, each of half a block.
@@ -255,7 +261,24 @@ def _dealt(named: DataFrame, block: int) -> DataFrame:
     others = F.transform(F.sequence(F.lit(0), F.col("rest") - 1), lambda k: pair(F.col("chunk"), k))
     above = F.when(F.col("tops") > 0, F.transform(F.sequence(F.lit(1), F.col("tops")), lambda k: pair(F.col("chunk"), -k))).otherwise(F.array().cast("array<struct<i:int,j:int>>"))
     members = members.withColumn("chunk", chunk).withColumn("at", F.explode(F.when(inside, others).otherwise(F.concat(others, above))))
-    return members.select("key", "band", "id", "component", "chunk", "at.i", "at.j")
+    return members.select(*named.columns, "chunk", "at.i", "at.j")
+
+
+def _merged(named: DataFrame) -> DataFrame:
+    """``(key, id, component, bands)`` of buckets ``(key, band, id, component)`` that hold several components.
+
+    Buckets with the same least class, 32 at most by default, become one if the square of their
+    different members is no more than the squares of the buckets' sizes in all. ``bands`` are those
+    of its buckets that a member is in: a pair that shares a band meets where that bucket went.
+    """
+    mixed = named.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
+    mixed = written(mixed.filter("a < b").select("key", "least", "n"), "mixed")
+    members = written(named.join(mixed, "key").select("key", "band", "id", "component", "least"), "members")
+    apart = mixed.groupBy("least").agg(F.sum(F.col("n") * F.col("n")).alias("apart"), F.count(F.lit(1)).alias("buckets")).filter("buckets > 1")
+    once = members.groupBy("least", "id").agg(F.lit(1)).groupBy("least").agg(F.count(F.lit(1)).alias("n"))
+    merged = written(apart.join(once, "least").filter("n * n <= apart").select("least", F.xxhash64(F.lit("least"), "least").alias("to")), "merged")
+    to = members.join(merged, "least", "left").select(F.coalesce("to", "key").alias("key"), "band", "id", "component")
+    return to.groupBy("key", "id").agg(F.min("component").alias("component"), F.collect_set("band").alias("bands"))
 
 
 def _across(bands: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame, params: MinHash, broadcast_ids: int) -> DataFrame:
@@ -265,7 +288,7 @@ def _across(bands: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataF
     looked at where they are and only links come out.
     """
     named = bands.join(labels, bands["id"] == labels["node"], "left").select("key", "band", "id", F.coalesce("component", "id").alias("component"))
-    members = _dealt(named, params.block).join(classes.select("id", "sig"), "id")
+    members = _dealt(written(_merged(named), "merged"), params.block).join(classes.select("id", "sig"), "id")
     rivals = written(_rivals(members, params), "rivals")
     sets = _sets_of(rivals.select(F.col("id").alias("doc_id")), docs, params, broadcast_ids)
     return written(_settled_rivals(rivals.join(sets, "id"), params).distinct(), "links")

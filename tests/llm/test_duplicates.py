@@ -8,7 +8,7 @@ import pytest
 from lacewing.llm import components
 from lacewing.llm.components import connected_components
 from lacewing.llm.exact import DigestIndex, drop_exact_duplicates, exact_duplicates
-from lacewing.llm.minhash import MinHash, _dealt, drop_near_duplicates, near_duplicates
+from lacewing.llm.minhash import MinHash, _dealt, _merged, drop_near_duplicates, near_duplicates
 from lacewing.llm.shingles import shingle_set
 
 SCHEMA = "doc_id long, text string, key string, id long, digest string, n int"
@@ -218,6 +218,26 @@ def test_blocks_hold_each_pair_across_components_once(spark, block):
     assert set(met.values()) == {1}
 
 
+def test_buckets_of_one_group_are_dealt_as_one(spark):
+    # a group in every band, most of it one component; buckets that only have their least class in common; settled ones
+    group = [(100 + b, b, i, 1 if i < 60 else i) for b in range(32) for i in range(1, 80) if i == 1 or (i + b) % 8]
+    apart = [(200 + b, b, i, i) for b in range(4) for i in [1000, *range(1010 + 20 * b, 1030 + 20 * b)]]
+    settled = [(300 + b, b, i, 2000) for b in range(4) for i in range(2000, 2050)]
+    schema = "key long, band int, id long, component long"
+    got = _merged(spark.createDataFrame(group + apart + settled, schema)).collect()
+    assert Counter(r["id"] for r in got if r["id"] < 1000) == {i: 1 for i in range(1, 80)}
+    assert sum(r["id"] >= 1000 for r in got) == len(apart)
+    held = defaultdict(list)
+    for r in got:
+        for b in r["bands"]:
+            held[r["key"], b].append((r["id"], r["component"]))
+    buckets = defaultdict(list)
+    for key, b, i, c in group + apart:
+        buckets[key, b].append((i, c))
+    assert sorted(map(sorted, held.values())) == sorted(map(sorted, buckets.values()))
+    assert _dealt(_merged(spark.createDataFrame(group, schema)), 256).count() == 79
+
+
 def test_near_of_very_long_texts_and_many_copies(spark):
     long = " ".join(f"w{i}" for i in range(200_000))
     rows = [(1, long), (2, long + " end"), (3, "x" * 1_500_000), (4, "x" * 1_500_000)] + [(10 + i, "a b c d e f g") for i in range(500)]
