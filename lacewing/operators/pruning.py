@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacewing.functions import indexed, rules_worth_inlining, rules_worth_inlining_decomposed
@@ -21,7 +21,7 @@ from lacewing.session import settled
 
 def _verdicts(c: CompressedGraph, inline: Callable[[Column, Column], Column]) -> DataFrame:
     """``(id, merged)`` of each rule, by counts alone: one small join a level of nesting."""
-    used = c.cedges.filter(c.is_rule("dst"))
+    used = settled(c.strings.filter(c.is_rule("sym")).groupBy(F.col("id").alias("src"), F.col("sym").alias("dst")).agg(F.count(F.lit(1)).alias("mult")))
     freq = used.groupBy(F.col("dst").alias("id")).agg(F.sum("mult").alias("freq"))
     bodies = c.strings.filter(c.is_rule("id"))
     plain = bodies.groupBy("id").agg(F.count_if(~c.is_rule("sym")).alias("plain"))
@@ -54,8 +54,22 @@ def _pruned(c: CompressedGraph, inline: Callable[[Column, Column], Column]) -> C
     while not gone.join(merged.withColumnRenamed("id", "sym"), "sym", "left_semi").isEmpty():
         gone = settled(expanded(gone, _bodies(gone)))
     numbers = settled(indexed(kept, ["id"]).select("id", (F.col("idx") + c.meta.rule_base).alias("new")))
-    strings = expanded(c.strings.join(merged, "id", "left_anti"), _bodies(gone))
-    strings = _renumbered(_renumbered(strings, numbers, "id"), numbers, "sym")
+    # symbols of rows that aren't rules stay as they are: only the others are joined
+    plain = ~c.is_rule("id") & ~c.is_rule("sym")
+    ruled, at = c.strings.filter(~plain).join(merged, "id", "left_anti"), F.col("pos")
+    most, far = gone.groupBy("id").count().agg(F.max("count")).first()[0] or 1, c.strings.agg(F.max(F.abs("pos"))).first()[0] or 0
+    if (far + 1) * most < 1 << 62:
+        at = at * F.lit(most)
+        inner = F.row_number().over(Window.partitionBy("id").orderBy("seg", "pos")) - 1
+        bodies = gone.select(F.col("id").alias("rule"), F.col("sym").alias("child"), inner.alias("inner"))
+        spliced = ruled.join(bodies, F.col("sym") == F.col("rule"), "left")
+        ruled = spliced.select("id", "seg", (at + F.coalesce("inner", F.lit(0))).cast("long").alias("pos"), F.coalesce("child", "sym").alias("sym"))
+        kept_rows = c.strings.filter(plain).select("id", "seg", at.cast("long").alias("pos"), "sym")
+        strings = kept_rows.unionByName(_renumbered(_renumbered(ruled, numbers, "id"), numbers, "sym"))
+    else:
+        # places would not fit: all rows are numbered anew
+        strings = expanded(c.strings.join(merged, "id", "left_anti"), _bodies(gone))
+        strings = _renumbered(_renumbered(strings, numbers, "id"), numbers, "sym")
     return CompressedGraph(settled(strings), c.vertices, c.edges, GraphMeta(c.meta.vertex_cnt, numbers.count(), c.meta.rule_base), schedule=c.schedule)
 
 

@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from lacewing import Graph
-from lacewing.operators import decompress, grammar, repair
+from lacewing.operators import decompress, filter_rules, grammar, repair
 
 
 def replaced(monkeypatch):
@@ -59,3 +59,36 @@ def test_done_segments_are_not_read_again(spark, monkeypatch):
     edges = spark.createDataFrame([(v, d, p) for v, row in enumerate(rows) for p, d in enumerate(row)], "src long, dst long, pos long")
     repair(Graph(edges, spark.range(2000)))
     assert len(sizes) > 2 and sizes[0] == 502 and max(sizes[1:]) < 60 and sizes[2] == 2
+
+
+def test_segments_of_sorted_edges(spark):
+    """Cut as edges come sorted, over partitions and batches, or by places: the same segments."""
+    rng = random.Random(3)
+    edges = [(v, rng.randrange(500)) for v in range(300) for _ in range(rng.choice([1, 2, 9]))] + [(v, rng.randrange(900)) for v in (50, 51, 299) for _ in range(4000)]
+    g = Graph.from_edges(spark.createDataFrame(edges, "src long, dst long"))
+    old = spark.conf.get("spark.sql.adaptive.enabled"), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
+    try:
+        got = sorted(map(tuple, grammar._sorted_segments(g.edges, 64)[0].collect()))
+        want = sorted(map(tuple, grammar._segments(g.symbols(64)).collect()))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old[0])
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old[1])
+    assert got == want
+
+
+def test_pruning_by_places_and_anew(spark, monkeypatch):
+    """Bodies spliced by places give the rows that numbering everything anew gives."""
+    rng = random.Random(8)
+    motifs = [sorted(rng.sample(range(60), rng.randint(2, 7))) for _ in range(6)]
+    rows = [[x for _ in range(4) for x in rng.choice(motifs)] for _ in range(40)]
+    edges = spark.createDataFrame([(v, d, p) for v, row in enumerate(rows) for p, d in enumerate(row)], "src long, dst long, pos long")
+    c = repair(Graph(edges, spark.range(60)))
+    # a place this far off leaves no room for bodies
+    far = c.strings.withColumn("pos", F.col("pos") + (1 << 61))
+    anew = type(c)(far, c.vertices, c.edges, c.meta)
+    near, other = filter_rules(c, 0), filter_rules(anew, 0)
+    assert 0 < near.meta.rule_cnt < c.meta.rule_cnt
+    assert {r["id"]: r["body"] for r in near.nodes().collect()} == {r["id"]: r["body"] for r in other.nodes().collect()}
+    assert decompress(near).edges.select("src", "dst").exceptAll(edges.select("src", "dst")).isEmpty()
